@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import line_dedup, mixing
+from quarry.llm import language_id, line_dedup, matroska, mixing, quality, token_counts, toxicity
 from quarry.llm.common import documents
 
 
@@ -14,13 +14,42 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(documents(spark, sf_dir))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_default(documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(documents(spark, sf_dir))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = token_counts.VOCABULARY) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), token_counts.read_vocabulary(vocabulary))
+
+
+def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_columns(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_source_mixing": op3_source_mixing,
+    "op4_language_id": op4_language_id,
+    "op5_quality": op5_quality,
+    "op7_token_counts": op7_token_counts,
+    "op10_matroska": op10_matroska,
 }
 
 ORACLE_SQL: dict[str, str] = {
