@@ -73,11 +73,13 @@ class LabelModel:
     Votes are 1 (toxic), -1 (not) or 0 (none). First each voter has a table P(vote | label) of its own.
     Then voters whose residuals, given the label, correlate by more than `tie` are joined into cliques,
     and a clique has one table over what it says as a whole: the sum of its votes, cut off at two. So
-    voters that repeat each other count once.
+    voters that repeat each other count once. Expectation starts from the labels that are known, and
+    then leaves them.
     """
 
-    def __init__(self, votes: np.ndarray, prior: float, tie: float = 0.25, rounds: int = 25):
-        self.prior = float(np.clip(prior, 1e-3, 0.5))
+    def __init__(self, votes: np.ndarray, start: np.ndarray, tie: float = 0.25, rounds: int = 5):
+        self.start = 0.05 + 0.9 * start
+        self.prior = float(np.clip(start.mean() if len(start) else 0.1, 1e-3, 0.5))
         self.cliques = [[j] for j in range(votes.shape[1])]
         post = self._fit(votes, rounds)
         expected = sum(p[:, None] * v for p, v in ((post, self._means(votes, post)), (1 - post, self._means(votes, 1 - post))))
@@ -109,14 +111,14 @@ class LabelModel:
 
     def _fit(self, votes: np.ndarray, rounds: int) -> np.ndarray:
         said = self._said(votes)
-        post = np.clip((votes == 1).sum(axis=1) / 2 + self.prior / 2, 0, 0.97) * (votes.sum(axis=1) > -1)
+        post = self.start
         for _ in range(rounds):
             tables = np.full((len(self.cliques), 2, 5), 0.02)
             for k in range(len(self.cliques)):
                 tables[k, 1] += np.bincount(said[:, k], post, 5)
                 tables[k, 0] += np.bincount(said[:, k], 1 - post, 5)
             self.tables = np.log(tables / tables.sum(axis=2, keepdims=True))
-            self.prior = float(np.clip(post.mean(), 1e-3, 0.5))
+            self.prior = float(np.clip(post.mean() if len(post) else self.prior, 1e-3, 0.5))
             post = self._posterior(said)
         return post
 
@@ -133,7 +135,7 @@ class ToxicityModel:
         self.lexicon = {w: i for i, w in enumerate(dict.fromkeys([*lexicon, *(w for w in INSULTS if " " not in w)]))}
         self.phrases = [w for w in INSULTS if " " in w]
         x = np.stack([self.features(t, f) for t, f in zip(texts, found, strict=True)]) if texts else np.zeros((0, self.width))
-        self.votes_model = LabelModel(self.votes(x), float(toxic.mean()) if len(toxic) else 0.1)
+        self.votes_model = LabelModel(self.votes(x), toxic.astype(float))
         soft = self.votes_model.posterior(self.votes(x))
         z = np.column_stack([x, np.ones(len(x))])
         w = np.append(np.zeros(self.width), np.log(0.1 / 0.9))
