@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import language_id, line_dedup, matroska, mixing, quality, token_counts, toxicity
+from quarry.llm import language_id, line_dedup, matroska, mixing, ngram_join, quality, token_counts, toxicity
 from quarry.llm.common import documents
 
 
@@ -38,6 +38,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = token_c
     return token_counts.token_counts(documents(spark, sf_dir), token_counts.read_vocabulary(vocabulary))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(documents(spark, sf_dir), size=4, percent=85)
+
+
 def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_columns(documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_quality": op5_quality,
     "op7_token_counts": op7_token_counts,
+    "op9_ngram_join": op9_ngram_join,
     "op10_matroska": op10_matroska,
 }
 
