@@ -127,6 +127,16 @@ def mix_default(docs: DataFrame) -> DataFrame:
     return mix(docs, default_levels(), WEIGHTS, SHARE, EPOCHS, SEED)
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the default mixture takes, with all their columns and n_tokens, epochs, last_tokens.
+
+    Columns of docs with these names are replaced.
+    """
+    taken = mix_default(docs).select(F.col("doc_id").alias("__taken"), "n_tokens", "epochs", "last_tokens")
+    own = docs.drop("n_tokens", "epochs", "last_tokens")
+    return own.join(taken, F.col("doc_id") == F.col("__taken")).drop("__taken")
+
+
 def _fill_sql(nodes: str, parent: str, name: str, out: str) -> str:
     by = f"PARTITION BY {parent}"
     order = f"{by} ORDER BY cap / weight, {name}"

@@ -220,3 +220,9 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     return all_ids.join(linked.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").select(
         "doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, but of each group of linked documents only the least doc_id's. Null doc_ids stay."""
+    later = similar_groups(docs, size, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__later"))
+    return docs.join(broadcast_if_small(checkpointed(later)), F.col("doc_id") == F.col("__later"), "left_anti")

@@ -197,3 +197,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", held.alias("held_out"), "text")
     return own.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose score reaches the threshold; nulls as in quality_scores."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            if model is None or not batch.num_rows:
+                yield batch
+            else:
+                score = model.score(np.stack([features(t.as_py()) for t in batch.column(text)]))
+                yield batch.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import language_id, line_dedup, matroska, mixing, ngram_join, quality, token_counts, toxicity
+from quarry.llm import decontamination, language_id, line_dedup, matroska, mixing, ngram_join, quality, substring_dedup, token_counts, toxicity
 from quarry.llm.common import documents
 
 
@@ -34,10 +34,18 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.near_duplicate_passages(documents(spark, sf_dir))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = token_counts.VOCABULARY) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), token_counts.read_vocabulary(vocabulary))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(documents(spark, sf_dir), size=4, percent=85)
 
@@ -52,7 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": op3_source_mixing,
     "op4_language_id": op4_language_id,
     "op5_quality": op5_quality,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_decontamination": op8_decontamination,
     "op9_ngram_join": op9_ngram_join,
     "op10_matroska": op10_matroska,
 }

@@ -18,6 +18,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: Everything in ASCII that is neither letter nor digit.
+NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -49,10 +51,10 @@ def blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, A-Z in lower case, and for each text where its words begin (one more at the end).
 
-    A word is a run of bytes other than space and tab to carriage return. A null text has none.
+    A word is a run of bytes that aren't blank; by default, than space and tab to carriage return. A null text has none.
     """
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     lo, hi = int(offsets[0]), int(offsets[-1])
@@ -60,7 +62,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if hi == lo:
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     raw = np.frombuffer(texts.buffers()[2], np.uint8)[lo:hi]
-    solid = np.flatnonzero(~BLANK[raw])
+    solid = np.flatnonzero(~blank[raw])
     if not len(solid):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     first = np.ones(len(solid), bool)
