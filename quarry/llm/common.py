@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,11 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Lets Spark delete shuffle files of steps that are done now, not when the driver next collects its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
@@ -61,6 +67,11 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def arrow_rows(spark: SparkSession, rows: int) -> None:
+    """Bounds the rows of an Arrow batch, for steps whose rows hold whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo a number: the remainder that decides on held-out rows."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, broadcast_if_small, checkpointed
+from quarry.llm.common import Scratch, arrow_rows, broadcast_if_small, checkpointed
 from quarry.llm.components import components
 from quarry.llm.words import scramble, shingle_sets
 
@@ -105,15 +105,20 @@ def profiles(docs: DataFrame, size: int, percent: int, common: tuple[np.ndarray,
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, g long, sketch array<long>, prefix array<long>")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
+def _verified(pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, text_a, b, text_b: the pairs a, b that link."""
+
     def run(batches):
         for batch in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), size)]
-            if sets:
-                offsets = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["id", "shingles"])
+            left, right = shingle_sets(batch.column(1), size), shingle_sets(batch.column(3), size)
+            same = []
+            for x, y in zip(left, right, strict=True):
+                i = len(np.intersect1d(x, y, assume_unique=True))
+                same.append(i > 0 and 100 * i >= percent * (len(x) + len(y) - i))
+            keep = pa.array(same, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(2).filter(keep)], ["a", "b"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, shingles array<long>")
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def _close(percent: int) -> str:
@@ -134,8 +139,8 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     2. Representatives with the same prefix (the |A| - ceil(t|A|) + 1 first shingles of a global order,
        common shingles last) and size are one group; only groups are posted under the prefix's shingles.
     3. Each group meets the group with the least doc_id of each shingle it is posted under, and each
-       member its group's least member: as many pairs as postings. Pairs that sizes and parity sketches
-       can't rule out are verified on whole sets, and their components found.
+       member its group's least member: as many pairs as postings. Of the pairs that sizes and parity
+       sketches can't rule out, each document's first is verified on whole texts, and components found.
     4. Only shingles whose postings are then in different components are looked at again, and groups
        whose members are: pairs of groups that fit are expanded to members, which sketches rule out or
        whole sets verify.
@@ -148,6 +153,7 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     spark = docs.sparkSession
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scratch = Scratch(spark)
+    arrow_rows(spark, 1000)
     texts = own.where("text is not null")
     every = scratch.table(profiles(texts, size, percent, common_shingles(texts, size)))
     same = scratch.table(every.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
@@ -169,22 +175,20 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
         x, y = sketches.alias("x"), sketches.alias("y")
         return pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).where(_close(percent)).select("a", "b")
 
-    kept: list[DataFrame] = []  # sets of shingles that are at hand
-
     def verified(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        for sets in kept:
-            ids = ids.join(sets.select("id"), "id", "left_anti")
-        ids = scratch.table(ids)
-        kept.append(scratch.table(_sets(texts.join(broadcast_if_small(ids.withColumnRenamed("id", "doc_id")), "doc_id"), size).dropDuplicates(["id"])))
-        sets = kept[0]
-        for more in kept[1:]:
-            sets = sets.unionByName(more)
-        x, y = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-        both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"))
-        return both.where(f"100 * i >= {percent} * (na + nb - i)").select("a", "b")
-
-    edges = scratch.table(verified(scratch.table(ruled(first))))
+        """Texts go to pairs, once for each and compressed, not sets of 64-bit numbers."""
+        pairs = scratch.table(pairs)
+        left = texts.join(broadcast_if_small(pairs), F.col("doc_id") == F.col("a")).select("a", F.col("text").alias("text_a"), F.col("b").alias("to"))
+        asked = scratch.table(pairs.select("b").distinct())
+        right = texts.join(broadcast_if_small(asked), F.col("doc_id") == F.col("b")).select("b", F.col("text").alias("text_b"))
+        both = left.join(right, F.col("to") == F.col("b")).select("a", "text_a", "b", "text_b")
+        found = scratch.table(_verified(both, size, percent))
+        scratch.release()
+        return found
+
+    scratch.release()
+    # of each document's pairs the one with the least doc_id; step 4 looks at the others as far as they matter
+    edges = verified(ruled(first).groupBy("a").agg(F.min("b").alias("b")))
     labels = components(edges, scratch)
 
     def labelled(df: DataFrame, key: str) -> DataFrame:
@@ -209,7 +213,7 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     second = met.join(x, F.col("hx") == F.col("x.head")).join(y, (F.col("hy") == F.col("y.head")) & F.expr(f"(hx <> hy or x.rep < y.rep) and x.c <> y.c and {_close(percent)}"))
     second = scratch.table(second.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
     if not second.isEmpty():
-        edges = edges.unionByName(scratch.table(verified(second)))
+        edges = edges.unionByName(verified(second))
         labels = components(edges, scratch)
 
     names = every.select("doc_id", "n", "s1", "s2").join(same, ["s1", "s2", "n"]).select("doc_id", "n", "rep")
