@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import fold
 
 #: Bounds of the sample that the model is fitted on: labelled toxic rows, and labelled other rows.
-TOXIC, OTHER = 4000, 8000
+TOXIC, OTHER = 2500, 5000
 THRESHOLD = 0.3
 #: Entries of the mined lexicon, and letters of the word beginnings among them.
 ENTRIES, STEMS = 120, (4, 5, 6)
@@ -33,19 +33,29 @@ def terms(text: str | None) -> set[str]:
     return out
 
 
-def mine(found: list[set[str]], toxic: np.ndarray, limit: int = ENTRIES, cover: int = 3) -> list[str]:
+def mine(texts: list[str], toxic: np.ndarray, limit: int = ENTRIES, cover: int = 3) -> list[str]:
     """Terms much more common in toxic texts that together cover these, each up to `cover` times.
 
     The term that adds most to the cover is taken first; terms that add little, such as the other words
-    of a toxic text that was copied, never are.
+    of a toxic text that was copied, never are. Only the toxic texts' counts of terms are held, and then
+    which candidates each text has.
     """
-    with_, without = Counter(), Counter()
-    for f, t in zip(found, toxic, strict=True):
-        (with_ if t else without).update(f)
+    with_ = Counter()
+    for t, y in zip(texts, toxic, strict=True):
+        if y:
+            with_.update(terms(t))
     n, m = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     least = max(4, n // 150)
-    rows = [f for f, t in zip(found, toxic, strict=True) if t]
-    held: dict[str, list[int]] = {w: [] for w, a in with_.items() if a >= least and a / n > 8 * without[w] / m and a > 4 * without[w]}
+    often = {w: a for w, a in with_.items() if a >= least}
+    del with_
+    without, rows = Counter(), []
+    for t, y in zip(texts, toxic, strict=True):
+        known = terms(t) & often.keys()
+        if y:
+            rows.append(known)
+        else:
+            without.update(known)
+    held: dict[str, list[int]] = {w: [] for w, a in often.items() if a / n > 8 * without[w] / m and a > 4 * without[w]}
     for i, f in enumerate(rows):
         for w in f & held.keys():
             held[w].append(i)
@@ -130,11 +140,10 @@ class ToxicityModel:
     """A lexicon mined from labelled rows, a label model over its votes, and a linear classifier of its posteriors."""
 
     def __init__(self, texts: list[str], toxic: np.ndarray, steps: int = 40):
-        found = [terms(t) for t in texts]
-        lexicon = mine(found, toxic) if toxic.any() else []
+        lexicon = mine(texts, toxic) if toxic.any() else []
         self.lexicon = {w: i for i, w in enumerate(dict.fromkeys([*lexicon, *(w for w in INSULTS if " " not in w)]))}
         self.phrases = [w for w in INSULTS if " " in w]
-        x = np.stack([self.features(t, f) for t, f in zip(texts, found, strict=True)]) if texts else np.zeros((0, self.width))
+        x = np.stack([self.features(t) for t in texts]) if texts else np.zeros((0, self.width))
         self.votes_model = LabelModel(self.votes(x), toxic.astype(float))
         soft = self.votes_model.posterior(self.votes(x))
         z = np.column_stack([x, np.ones(len(x))])
@@ -152,11 +161,11 @@ class ToxicityModel:
     def width(self) -> int:
         return len(self.lexicon) + len(self.phrases) + 3
 
-    def features(self, text: str | None, found: set[str] | None = None) -> np.ndarray:
+    def features(self, text: str | None) -> np.ndarray:
         """Which entries occur; how many different words or beginnings do; an insult beside "you"; shouting."""
         out = np.zeros(self.width)
         text = text or ""
-        found = self._known(text) if found is None else found
+        found = self._known(text)
         hits = self.lexicon.keys() & found
         for w in hits:
             out[self.lexicon[w]] = 1
