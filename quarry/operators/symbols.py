@@ -12,7 +12,7 @@ SCHEMA = "identifier string, text string, symbol_kind string, file_path string,
 EXCERPT = 10
 
 _SKIP = re.compile(r"""//[^\n]*|/\*|b?r(#*)"|b?"(?:\\.|[^"\\])*"|b?'(?:\\(?:x[0-9a-fA-F]{2}|u\{[^}]*\}|.)|[^'\\\n])'""", re.S)
-_ITEM = re.compile(r"(?m)^[ \t]*(?:pub(?:\s*\([^)]*\))?\s+)?(?:(?:default|async|unsafe|extern|const(?=\s+(?:fn|unsafe|async|extern)))\s+)*(fn|struct|enum|trait|impl|mod|type|const|static|macro_rules!|use)\b")
+_ITEM = re.compile(r"(?m)(?:^|(?<=[{};\]]))\s*(?:pub(?:\s*\([^)]*\))?\s+)?(?:(?:default|async|unsafe|extern|const(?=\s+(?:fn|unsafe|async|extern)))\s+)*(fn|struct|enum|trait|impl|mod|type|const|static|macro_rules!|use)\b")
 # What items are called.
 _KIND = {"fn": "function", "struct": "struct", "enum": "enum", "trait": "trait", "mod": "module", "type": "typealias", "const": "const", "static": "static", "macro_rules!": "macro"}
 
