@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from quarry.llm.words import scramble, shingle_sets
 COMMON, TASK_COMMON, TASK_LEAST, BATCH = 100_000, 20_000, 8, 2_000_000
 #: Bits of the parity sketch of a set, as numbers of 64.
 SKETCH = 8
+#: Pairs whose texts are unpacked at once.
+UNPACKED = 32
 
 
 def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,16 +108,32 @@ def profiles(docs: DataFrame, size: int, percent: int, common: tuple[np.ndarray,
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, g long, sketch array<long>, prefix array<long>")
 
 
+def _packed(texts: DataFrame) -> DataFrame:
+    """texts, whose last column is the text, with that column as compressed bytes."""
+    schema = ", ".join([f"{c} long" for c in texts.columns[:-1]] + ["packed binary"])
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            packed = pa.array([pack(t.as_buffer()) for t in batch.column(batch.num_columns - 1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], [*batch.schema.names[:-1], "packed"])
+
+    return texts.mapInArrow(run, schema)
+
+
 def _verified(pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, text_a, b, text_b: the pairs a, b that link."""
+    """a, packed_a, b, packed_b: the pairs a, b that link."""
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            left, right = shingle_sets(batch.column(1), size), shingle_sets(batch.column(3), size)
             same = []
-            for x, y in zip(left, right, strict=True):
-                i = len(np.intersect1d(x, y, assume_unique=True))
-                same.append(i > 0 and 100 * i >= percent * (len(x) + len(y) - i))
+            for at in range(0, batch.num_rows, UNPACKED):
+                part = batch.slice(at, UNPACKED)
+                left, right = (shingle_sets(pa.array([unpack(t.as_buffer()) for t in part.column(c)], pa.binary()), size) for c in (1, 3))
+                for x, y in zip(left, right, strict=True):
+                    i = len(np.intersect1d(x, y, assume_unique=True))
+                    same.append(i > 0 and 100 * i >= percent * (len(x) + len(y) - i))
             keep = pa.array(same, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(2).filter(keep)], ["a", "b"])
 
@@ -157,17 +176,22 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     texts = own.where("text is not null")
     every = scratch.table(profiles(texts, size, percent, common_shingles(texts, size)))
     same = scratch.table(every.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
-    reps = scratch.table(every.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("rep"), "n", "g", "sketch", "prefix"))
+    # whole sets are dealt out by doc_id only where rows of one have to be brought together
+    chosen = every.join(broadcast_if_small(scratch.table(same.select(F.col("rep").alias("doc_id")).distinct())), "doc_id", "left_semi")
+    if not every.groupBy("doc_id", "s1", "s2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty():
+        chosen = chosen.dropDuplicates(["doc_id", "s1", "s2"])
+    reps = scratch.table(chosen.select(F.col("doc_id").alias("rep"), "n", "g", "sketch", "prefix"))
 
     groups = scratch.table(reps.groupBy("g").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("members")))
-    heads = reps.join(groups.select(F.col("head").alias("rep")), "rep", "left_semi")
+    members = scratch.table(reps.select("rep", "g").join(groups.where("members > 1").select("g", "head"), "g").where("rep <> head").select("rep", "g", "head"))
+    heads = reps.join(broadcast_if_small(members.select("rep", "g")), ["rep", "g"], "left_anti")
     posted = heads.select(F.explode("prefix").alias("h"), "rep", "n")
     shared = posted.groupBy("h").agg(F.min(F.struct("rep", "n")).alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
     shared = scratch.table(shared.select(F.col("h").alias("h2"), F.col("least.rep").alias("lead"), F.col("least.n").alias("lead_n")))
     posted = scratch.table(posted.join(shared, F.col("h") == F.col("h2")).select("h", "rep", "n", "lead", "lead_n"))
 
     fits = f"100 * least(n, lead_n) >= {percent} * greatest(n, lead_n) and rep <> lead"
-    inside = reps.join(groups.where("members > 1").select("g", "head"), "g").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    inside = members.select(F.col("rep").alias("a"), F.col("head").alias("b"))
     first = posted.where(fits).select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct().unionByName(inside)
     sketches = scratch.table(reps.select("rep", "n", "sketch"))
 
@@ -176,12 +200,13 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
         return pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).where(_close(percent)).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Texts go to pairs, once for each and compressed, not sets of 64-bit numbers."""
+        """Texts go to pairs, once for each and packed, not sets of 64-bit numbers."""
         pairs = scratch.table(pairs)
-        left = texts.join(broadcast_if_small(pairs), F.col("doc_id") == F.col("a")).select("a", F.col("text").alias("text_a"), F.col("b").alias("to"))
+        left = texts.join(broadcast_if_small(pairs), F.col("doc_id") == F.col("a")).select("a", F.col("b").alias("to"), "text")
         asked = scratch.table(pairs.select("b").distinct())
-        right = texts.join(broadcast_if_small(asked), F.col("doc_id") == F.col("b")).select("b", F.col("text").alias("text_b"))
-        both = left.join(right, F.col("to") == F.col("b")).select("a", "text_a", "b", "text_b")
+        right = texts.join(broadcast_if_small(asked), F.col("doc_id") == F.col("b")).select("b", "text")
+        left, right = _packed(left).withColumnRenamed("packed", "packed_a"), _packed(right).withColumnRenamed("packed", "packed_b")
+        both = left.join(right, F.col("to") == F.col("b")).select("a", "packed_a", "b", "packed_b")
         found = scratch.table(_verified(both, size, percent))
         scratch.release()
         return found
