@@ -204,6 +204,7 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
         pairs = scratch.table(pairs)
         left = texts.join(broadcast_if_small(pairs), F.col("doc_id") == F.col("a")).select("a", F.col("b").alias("to"), "text")
         asked = scratch.table(pairs.select("b").distinct())
+        scratch.release()
         right = texts.join(broadcast_if_small(asked), F.col("doc_id") == F.col("b")).select("b", "text")
         left, right = _packed(left).withColumnRenamed("packed", "packed_a"), _packed(right).withColumnRenamed("packed", "packed_b")
         both = left.join(right, F.col("to") == F.col("b")).select("a", "packed_a", "b", "packed_b")
