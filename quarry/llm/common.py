@@ -43,22 +43,25 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
+        self.paths: dict[DataFrame, str] = {}
         self.n = 0
 
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[table] = path
+        return table
 
     def release(self) -> None:
         """Lets Spark delete shuffle files of steps that are done now, not when the driver next collects its garbage."""
         gc.collect()
         self.spark._jvm.System.gc()
 
-    def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
+    def drop(self, table: DataFrame | None = None) -> None:
+        """Deletes a table that nothing reads any more, or all of them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(table) if table is not None else self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

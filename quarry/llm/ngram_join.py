@@ -18,6 +18,8 @@ from quarry.llm.words import scramble, shingle_sets
 COMMON, TASK_COMMON, TASK_LEAST, BATCH = 100_000, 20_000, 8, 2_000_000
 #: Bits of the parity sketch of a set, as numbers of 64.
 SKETCH = 8
+#: A set of more than WIDE shingles has a second sketch, of a power of two of bits, at least WIDE_BITS for each shingle.
+WIDE, WIDE_BITS = 128, 2
 #: Pairs whose texts are unpacked at once.
 UNPACKED = 32
 
@@ -61,14 +63,21 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
     return h[order], np.log2(np.maximum(1, n[order])).astype(np.int64) + 1
 
 
+def _parity(s: np.ndarray, words: int) -> np.ndarray:
+    """For each of so many numbers' bits, whether an odd number of shingles has it."""
+    bit = (s >> np.uint64(7)) % np.uint64(64 * words)
+    odd = (np.bincount(bit.astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def profiles(docs: DataFrame, size: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n, s1, s2 (the set's fingerprint), g (hash of prefix and size), sketch, prefix: of each text with a word."""
+    """doc_id, n, s1, s2 (the set's fingerprint), g (hash of prefix and size), sketch, wide, prefix: of each text with a word."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, weight = sent.value
         for batch in batches:
-            ids, ns, s1, s2, gs, sketches, prefixes = [], [], [], [], [], [], []
+            ids, ns, s1, s2, gs, sketches, wides, prefixes = [], [], [], [], [], [], [], []
             for i, s in enumerate(shingle_sets(batch.column(1), size)):
                 n = len(s)
                 if not n:
@@ -80,14 +89,13 @@ def profiles(docs: DataFrame, size: int, percent: int, common: tuple[np.ndarray,
                 else:
                     ordered = s
                 prefix = ordered[: n - (-(-percent * n // 100)) + 1]
-                bit = (s >> np.uint64(7)) % np.uint64(64 * SKETCH)
-                odd = (np.bincount(bit.astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)
                 ids.append(i)
                 ns.append(n)
                 s1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                 s2.append(int(scramble(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
                 gs.append(int(scramble(scramble(prefix).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)).view(np.int64)[0]))
-                sketches.append(np.packbits(odd).view(np.int64))
+                sketches.append(_parity(s, SKETCH))
+                wides.append(_parity(s, 1 << (WIDE_BITS * n // 64).bit_length()) if n > WIDE else None)
                 prefixes.append(prefix.view(np.int64))
             if not ids:
                 continue
@@ -100,12 +108,13 @@ def profiles(docs: DataFrame, size: int, percent: int, common: tuple[np.ndarray,
                     pa.array(s2, pa.int64()),
                     pa.array(gs, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate(sketches))),
+                    pa.array(wides, pa.list_(pa.int64())),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes))),
                 ],
-                ["doc_id", "n", "s1", "s2", "g", "sketch", "prefix"],
+                ["doc_id", "n", "s1", "s2", "g", "sketch", "wide", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, g long, sketch array<long>, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, g long, sketch array<long>, wide array<long>, prefix array<long>")
 
 
 def _packed(texts: DataFrame) -> DataFrame:
@@ -147,6 +156,31 @@ def _close(percent: int) -> str:
     return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {apart} <= x.n + y.n - 2 * ({least})"
 
 
+def _wide_close(pairs: DataFrame, percent: int) -> DataFrame:
+    """a, b of a, b, n_a, n_b, wide_a, wide_b: without loss, the pairs that their wide sketches don't rule out.
+
+    A sketch folds to half its bits by the parity of its halves, so both are brought to the smaller one's size.
+    """
+
+    def run(batches):
+        for batch in batches:
+            fits = []
+            for at in range(batch.num_rows):
+                n = batch.column(2)[at].as_py() + batch.column(3)[at].as_py()
+                x, y = (batch.column(c)[at].values for c in (4, 5))
+                if x is None or y is None:
+                    fits.append(True)
+                    continue
+                k = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(z.to_numpy().reshape(-1, k)) for z in (x, y))
+                least = -(-n * percent // (100 + percent))
+                fits.append(int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= n - 2 * least)
+            keep = pa.array(fits, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: which documents are linked, by sets of word shingles.
 
@@ -159,7 +193,8 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
        common shingles last) and size are one group; only groups are posted under the prefix's shingles.
     3. Each group meets the group with the least doc_id of each shingle it is posted under, and each
        member its group's least member: as many pairs as postings. Of the pairs that sizes and parity
-       sketches can't rule out, each document's first is verified on whole texts, and components found.
+       sketches, which grow with the sets, can't rule out, each document's first is verified on whole
+       texts, and components found.
     4. Only shingles whose postings are then in different components are looked at again, and groups
        whose members are: pairs of groups that fit are expanded to members, which sketches rule out or
        whole sets verify.
@@ -180,15 +215,20 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     chosen = every.join(broadcast_if_small(scratch.table(same.select(F.col("rep").alias("doc_id")).distinct())), "doc_id", "left_semi")
     if not every.groupBy("doc_id", "s1", "s2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty():
         chosen = chosen.dropDuplicates(["doc_id", "s1", "s2"])
-    reps = scratch.table(chosen.select(F.col("doc_id").alias("rep"), "n", "g", "sketch", "prefix"))
+    whole = scratch.table(chosen.select(F.col("doc_id").alias("rep"), "n", "g", "sketch", "wide", "prefix"))
+    reps, wide = scratch.table(whole.select("rep", "n", "g", "sketch")), scratch.table(whole.where("wide is not null").select("rep", "wide"))
+    names = scratch.table(every.select("doc_id", "n", "s1", "s2"))
+    scratch.drop(every)
 
     groups = scratch.table(reps.groupBy("g").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("members")))
     members = scratch.table(reps.select("rep", "g").join(groups.where("members > 1").select("g", "head"), "g").where("rep <> head").select("rep", "g", "head"))
-    heads = reps.join(broadcast_if_small(members.select("rep", "g")), ["rep", "g"], "left_anti")
+    heads = whole.select("rep", "n", "g", "prefix").join(broadcast_if_small(members.select("rep", "g")), ["rep", "g"], "left_anti")
     posted = heads.select(F.explode("prefix").alias("h"), "rep", "n")
     shared = posted.groupBy("h").agg(F.min(F.struct("rep", "n")).alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
     shared = scratch.table(shared.select(F.col("h").alias("h2"), F.col("least.rep").alias("lead"), F.col("least.n").alias("lead_n")))
     posted = scratch.table(posted.join(shared, F.col("h") == F.col("h2")).select("h", "rep", "n", "lead", "lead_n"))
+    scratch.drop(whole)
+    scratch.drop(shared)
 
     fits = f"100 * least(n, lead_n) >= {percent} * greatest(n, lead_n) and rep <> lead"
     inside = members.select(F.col("rep").alias("a"), F.col("head").alias("b"))
@@ -197,7 +237,16 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
 
     def ruled(pairs: DataFrame) -> DataFrame:
         x, y = sketches.alias("x"), sketches.alias("y")
-        return pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).where(_close(percent)).select("a", "b")
+        near = pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).where(_close(percent))
+        return finely(near.select("a", "b", F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")))
+
+    def finely(near: DataFrame) -> DataFrame:
+        near = scratch.table(near)
+        x, y = (wide.select(F.col("rep").alias(f"r_{s}"), F.col("wide").alias(f"wide_{s}")) for s in "ab")
+        large = F.least("n_a", "n_b") > WIDE
+        met = near.where(large).join(x, F.col("a") == F.col("r_a")).join(y, F.col("b") == F.col("r_b"))
+        found = _wide_close(met.select("a", "b", "n_a", "n_b", "wide_a", "wide_b"), percent)
+        return near.where(~large).select("a", "b").unionByName(found)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Texts go to pairs, once for each and packed, not sets of 64-bit numbers."""
@@ -237,12 +286,13 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     met = scratch.table(met.unionByName(same_group))
     x, y = member.alias("x"), member.alias("y")
     second = met.join(x, F.col("hx") == F.col("x.head")).join(y, (F.col("hy") == F.col("y.head")) & F.expr(f"(hx <> hy or x.rep < y.rep) and x.c <> y.c and {_close(percent)}"))
-    second = scratch.table(second.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+    second = second.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
+    second = scratch.table(finely(second.distinct()))
     if not second.isEmpty():
         edges = edges.unionByName(verified(second))
         labels = components(edges, scratch)
 
-    names = every.select("doc_id", "n", "s1", "s2").join(same, ["s1", "s2", "n"]).select("doc_id", "n", "rep")
+    names = names.join(same, ["s1", "s2", "n"]).select("doc_id", "n", "rep")
     linked = labelled(names, "rep").groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("c").alias("component_id"))
     linked = checkpointed(linked)
     scratch.drop()
