@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, language_id, line_dedup, matroska, mixing, ngram_join, quality, substring_dedup, token_counts, toxicity
+from quarry.llm.words import scramble, shingles
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, N_TOKENS2 int, score double, component_id long"
 LONG = "\n".join(f"row {i} of a very long text" for i in range(5000))
@@ -142,6 +143,37 @@ def test_substring_dedup_finds_planted_passages(spark):
     assert substring_dedup.near_duplicate_passages(docs(spark, rows).limit(0)).count() == 0
 
 
+def shingled(*parts):
+    return shingles(scramble(np.concatenate([np.asarray(p, np.uint64) for p in parts])), 5)
+
+
+def alike(a, b, least, percent):
+    """Whether any two runs, the first of `least` or more, have the similarity; of distinct shingles, shared ones in the same places."""
+    shared = np.append(0, np.cumsum(a == b))
+    p, q = np.triu_indices(len(b) + 1, 1)
+    for i in range(len(a) - least + 1):
+        for j in range(i + least, len(a) + 1):
+            same = np.maximum(0, shared[np.minimum(j, q)] - shared[np.maximum(i, p)])
+            if (100 * same >= percent * (j - i + q - p - same)).any():
+                return True
+    return False
+
+
+@pytest.mark.parametrize("n", [50, 54, 60, 64, 80])
+def test_passages_with_changed_words_against_brute_force(n):
+    rng = random.Random(n)
+    changed = [(c,) for c in range(n)] + [tuple(rng.sample(range(n), 2)) for _ in range(30)]
+    for at in changed:
+        other = np.arange(n)
+        other[list(at)] += 1000
+        a, b = shingled(np.arange(n)), shingled(other)
+        got = list(substring_dedup.passages(a, b, 46, 80))
+        assert bool(got) == alike(a, b, 46, 80), at
+        for lo, hi, p, q, sim in got:
+            x, y = set(a[lo:hi].tolist()), set(b[p:q].tolist())
+            assert hi - lo >= 46 and len(x & y) / len(x | y) == sim >= 0.8
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(4)
     items = [(i, words(rng, 20) + ". " + words(rng, 6) + ".") for i in range(30)] + [(90, None), (91, ""), (92, "!!")]
