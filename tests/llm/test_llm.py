@@ -174,6 +174,26 @@ def test_passages_with_changed_words_against_brute_force(n):
             assert hi - lo >= 46 and len(x & y) / len(x | y) == sim >= 0.8
 
 
+def test_passages_whose_counterparts_are_scattered():
+    first, second = np.arange(60), np.arange(100, 160)
+    new = iter(np.arange(1000, 10**6))
+
+    def some(n):
+        return [next(new) for _ in range(n)]
+
+    def found(a, b):
+        return sorted(g[:4] for g in substring_dedup.passages(shingled(*a), shingled(*b), 46, 80))
+
+    assert found([some(5), first, some(5)], [first, some(30), first[10:15], some(3)]) == [(5, 61, 0, 56)]
+    assert found([some(5), first, some(9)], [first, some(130), first]) == [(5, 61, 0, 56)]
+    assert found([first, second], [some(3), second, some(200), first]) == [(0, 56, 263, 319), (60, 116, 3, 59)]
+    assert found([first, some(2), second], [first, some(200), second]) == [(0, 56, 0, 56), (62, 118, 260, 316)]
+    line = np.arange(200, 206)
+    a, b = ([x for _ in range(300) for x in (line, some(6))] for _ in range(2))
+    assert {g[0] >= 3600 and g[1] <= 3662 for g in found([*a, first, *a], [*b, some(9), first, *b])} >= {True}
+    assert found([line] * 3000, [line] * 2000)
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(4)
     items = [(i, words(rng, 20) + ". " + words(rng, 6) + ".") for i in range(30)] + [(90, None), (91, ""), (92, "!!")]
