@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -194,6 +195,14 @@ def test_passages_whose_counterparts_are_scattered():
     assert found([line] * 3000, [line] * 2000)
 
 
+def test_substring_dedup_functions_find_windows_at_the_similarity():
+    n, p = substring_dedup.HASHES, substring_dedup.PERCENT / 100
+    missed = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(substring_dedup.NEEDED))
+    assert missed <= 0.01
+    half = sum(math.comb(n, k) for k in range(substring_dedup.NEEDED)) / 2**n  # where half of the functions lose their link
+    assert half <= 0.125
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(4)
     items = [(i, words(rng, 20) + ". " + words(rng, 6) + ".") for i in range(30)] + [(90, None), (91, ""), (92, "!!")]
