@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quarry.llm import decontamination, language_id, line_dedup, matroska, mixing, ngram_join, quality, substring_dedup, token_counts, toxicity
 from quarry.llm.words import scramble, shingles
 
@@ -247,3 +248,51 @@ def test_word_hashes_of_slices():
     whole = [s.tolist() for s in shingle_sets(texts, 5)]
     assert whole[0] == whole[3] and len(whole[0]) == 2 and whole[1] == whole[2] == [] and len(whole[4]) == 1
     assert [s.tolist() for s in shingle_sets(texts.slice(3, 2), 5)] == whole[3:]
+
+
+def plain_stages(rows, items):
+    """Line dedup, near duplicates and decontamination of (doc_id, text), in plain Python."""
+    seen, out = set(), {}
+    for i, text in sorted(rows.items()):
+        lines, gone = text.split("\n"), set()
+        for k in range(len(lines) - 2):
+            window = tuple(lines[k : k + 3])
+            gone |= {k, k + 1, k + 2} if window in seen else set()
+            seen.add(window)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in out.items() if (w := t.lower().split())}
+    group = {i: i for i in out}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    group[a] = min(group[a], group[b])
+    out = {i: t for i, t in out.items() if group[i] == i}
+    bad = {d for d, _ in decontamination.brute_force(list(out.items()), items)}
+    return {i: t for i, t in out.items() if i not in bad}
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    rng = random.Random(11)
+    items = [(i, words(rng, 20) + ". " + words(rng, 6) + ".") for i in range(5)]
+    texts = {i: "\n".join(words(rng, 12) for _ in range(8)) for i in range(12)}
+    texts[20] = "\n".join([words(rng, 9), *texts[3].split("\n")[2:6], words(rng, 9)])
+    copy = words(rng, 100).split()
+    texts[21], texts[22] = " ".join(copy), " ".join(copy[:50] + ["zzz"] + copy[51:])
+    texts[23] = f"{words(rng, 90)} {items[1][1]} {words(rng, 20)}"
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    table = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in texts.items()], kinds)
+    table.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    labelled = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(12)], LABELS)
+    labelled.coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    table, stored = (spark.read.parquet(f"{tmp_path}/{x}.parquet") for x in ("documents", "labels"))
+    good = {r.doc_id: texts[r.doc_id] for r in quality.quality_scores(table, stored).where("predicted = 1").collect()}
+    for kept, labels in ((good, labelled), (texts, labelled.limit(0))):
+        labels.write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet") if labels is not labelled else None
+        left = plain_stages(kept, items)
+        mixed = mixing.mixed_documents(spark.createDataFrame([(i, t, "en", "src1", len(texts[i])) for i, t in left.items()], kinds))
+        got = corpus_pipeline.run(spark, str(tmp_path))
+        assert got.columns == mixed.columns and {r.doc_id for r in got.collect()} == {r.doc_id for r in mixed.collect()}
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, mixed.collect()))
+    assert not {22, 23} & set(left) and left[20].count("\n") == 1 and len(left) == 14
