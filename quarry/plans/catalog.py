@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import chunking, search, sync
+from quarry.operators import chunking, embed, search, symbols, sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -202,7 +202,8 @@ def unified_groups(spark, sf_dir):
 @query(f"SELECT doc_id, 0 AS ordinal, md5(text) AS text_md5, 1 AS line_start, greatest(1, len(string_split(regexp_replace(text, '\\n$', ''), chr(10)))) AS line_end FROM documents WHERE strlen(text) <= {chunking.LIMIT}")
 def doc_chunks_small(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where(F.octet_length("text") <= chunking.LIMIT)
-    return d.select("doc_id", F.lit(0).alias("ordinal"), F.md5("text").alias("text_md5"), F.lit(1).alias("line_start"), F.greatest(F.lit(1), T.line_count(F.col("text"))).alias("line_end"))
+    c = chunking.chunks(d.select(F.col("doc_id").cast("string").alias("file_path"), F.col("text").alias("source"), F.lit("txt").alias("extension")))
+    return c.select(F.col("file_path").cast("long").alias("doc_id"), "ordinal", F.md5("text").alias("text_md5"), "line_start", "line_end")
 
 
 @query(f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE strlen(replace(text, chr(10), chr(10) || chr(10))) > {chunking.LIMIT}),
@@ -220,6 +221,23 @@ def doc_chunks_markdown(spark, sf_dir):
     return chunking.chunks(d)
 
 
+#: Files for symbol_extract; the driver's tables have no code.
+RUST = [
+    ("src/shape.rs", "/// A shape.\npub struct Shape {\n    sides: u32,\n}\n\nimpl Shape {\n    pub fn sides(&self) -> u32 {\n        self.sides\n    }\n}\n"),
+    ("src/lib.rs", "pub mod shape;\n\nmod inner {\n    pub enum Kind {\n        A,\n    }\n\n    pub trait Named {\n        fn name(&self) -> String;\n    }\n}\n"),
+]
+
+
+@query()
+def symbol_extract(spark, sf_dir):
+    return symbols.symbols(spark.createDataFrame(RUST, "file_path string, content string"))
+
+
+@query()
+def embed_hashing(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", embed.embedding("text").alias("embedding"))
+
+
 _EXPLODED = f"SELECT doc_id, unnest({_TOK.format('text')}) AS term FROM documents"
 
 

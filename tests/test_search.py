@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import chunking, search, symbols, sync
 from quarry.operators.fts_query import QuerySyntaxError, parse
+from quarry.plans import catalog
 
 ROWS = [
     (1, "fix the render pipeline crash", "alice"),
@@ -101,3 +102,17 @@ def test_content_hash_and_upsert(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, seq int, v string")
     assert sorted(map(tuple, sync.upsert(rows, ["k"], ["seq"]).collect())) == [("a", 2, "y"), ("b", 1, "z")]
     assert spark.range(1).select(T.kind_label(F.lit("implmethod"))).first()[0] == "fn"
+
+
+def test_chunk_queries_cover_all_documents_and_others_are_registered(spark, tmp_path, monkeypatch):
+    texts = [(1, "a\nb\n"), (2, ""), (3, "c\r\nd"), (4, "word " * 2000 + "\n" + "more " * 2000), (5, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    given = []
+    chunks = catalog.chunking.chunks
+    monkeypatch.setattr(catalog.chunking, "chunks", lambda d: given.extend(r.file_path for r in d.collect()) or chunks(d))
+    small = catalog.QUERIES["doc_chunks_small"](spark, str(tmp_path)).collect()
+    assert [(r.doc_id, r.ordinal, r.line_start, r.line_end) for r in sorted(small)] == [(1, 0, 1, 2), (2, 0, 1, 1), (3, 0, 1, 2)]
+    assert {r.doc_id for r in catalog.QUERIES["doc_chunks_plain"](spark, str(tmp_path)).collect()} == {4}
+    assert sorted(given) == ["1", "2", "3", "4"]
+    assert {"src/shape.rs::Shape::sides", "src/lib.rs::inner::Kind"} <= {r.identifier for r in catalog.QUERIES["symbol_extract"](spark, str(tmp_path)).collect()}
+    assert sorted((r.doc_id, len(r.embedding)) for r in catalog.QUERIES["embed_hashing"](spark, str(tmp_path)).collect()) == [(i, 256) for i in range(1, 6)]
