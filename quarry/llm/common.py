@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,24 +25,38 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local master gets a temporary folder that goes with the process; on a cluster
+    that would be a folder of one machine, so there it is an error.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="quarry-checkpoint-")
+        atexit.register(shutil.rmtree, folder, True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the shared folder. Spark drops the files with the last reference."""
+    """df with its lineage cut, in the shared folder.
+
+    Spark drops the files with the last reference if spark.cleaner.referenceTracking.cleanCheckpoints is
+    set; otherwise they stay until the folder is emptied. So only small or final tables are checkpointed.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 class Scratch:
-    """Parquet tables in the shared folder for steps that are consumed before an operator returns."""
+    """Parquet tables in the shared folder for steps that are consumed before an operator returns.
+
+    As a context, drops them all at its end, also if a step fails.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -46,6 +64,12 @@ class Scratch:
         self.paths: dict[DataFrame, str] = {}
         self.n = 0
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop()
+
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
@@ -70,9 +94,16 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Bounds the rows of an Arrow batch, for steps whose rows hold whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Bounds the rows of an Arrow batch, for steps whose rows hold whole texts, while the context lasts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def fold(column: str, modulus: int) -> Column:

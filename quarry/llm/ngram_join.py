@@ -18,11 +18,13 @@ from quarry.llm.words import scramble, shingle_sets
 COMMON, TASK_COMMON, TASK_LEAST, BATCH = 100_000, 20_000, 8, 2_000_000
 #: Bits of the parity sketch of a set, as numbers of 64.
 SKETCH = 8
-#: A set of more than WIDE shingles has a second sketch, of a power of two of bits, at least WIDE_BITS for each shingle.
-WIDE, WIDE_BITS = 128, 2
+#: Rows of one or two longs, pairs of documents to verify, up to which they are broadcast (32 MB).
+PAIR_ROWS = 2_000_000
 #: Pairs whose texts are unpacked at once.
 UNPACKED = 32
 
+BITS = [f"bits{i}" for i in range(SKETCH)]
+
 
 def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, int)
@@ -63,21 +65,21 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
     return h[order], np.log2(np.maximum(1, n[order])).astype(np.int64) + 1
 
 
-def _parity(s: np.ndarray, words: int) -> np.ndarray:
-    """For each of so many numbers' bits, whether an odd number of shingles has it."""
-    bit = (s >> np.uint64(7)) % np.uint64(64 * words)
-    odd = (np.bincount(bit.astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)
+def _parity(s: np.ndarray) -> np.ndarray:
+    """For each bit of the sketch, whether an odd number of shingles has it."""
+    bit = (s >> np.uint64(7)) % np.uint64(64 * SKETCH)
+    odd = (np.bincount(bit.astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
 def profiles(docs: DataFrame, size: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n, s1, s2 (the set's fingerprint), g (hash of prefix and size), sketch, wide, prefix: of each text with a word."""
+    """doc_id, n, s1, s2 (the set's fingerprint), g (hash of prefix and size), the sketch, prefix: of each text with a word."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, weight = sent.value
         for batch in batches:
-            ids, ns, s1, s2, gs, sketches, wides, prefixes = [], [], [], [], [], [], [], []
+            ids, ns, s1, s2, gs, sketches, prefixes = [], [], [], [], [], [], []
             for i, s in enumerate(shingle_sets(batch.column(1), size)):
                 n = len(s)
                 if not n:
@@ -94,8 +96,7 @@ def profiles(docs: DataFrame, size: int, percent: int, common: tuple[np.ndarray,
                 s1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                 s2.append(int(scramble(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
                 gs.append(int(scramble(scramble(prefix).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)).view(np.int64)[0]))
-                sketches.append(_parity(s, SKETCH))
-                wides.append(_parity(s, 1 << (WIDE_BITS * n // 64).bit_length()) if n > WIDE else None)
+                sketches.append(_parity(s))
                 prefixes.append(prefix.view(np.int64))
             if not ids:
                 continue
@@ -107,14 +108,14 @@ def profiles(docs: DataFrame, size: int, percent: int, common: tuple[np.ndarray,
                     pa.array(s1, pa.int64()),
                     pa.array(s2, pa.int64()),
                     pa.array(gs, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate(sketches))),
-                    pa.array(wides, pa.list_(pa.int64())),
+                    *(pa.array(column) for column in np.stack(sketches, axis=1)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes))),
                 ],
-                ["doc_id", "n", "s1", "s2", "g", "sketch", "wide", "prefix"],
+                ["doc_id", "n", "s1", "s2", "g", *BITS, "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, g long, sketch array<long>, wide array<long>, prefix array<long>")
+    longs = ["doc_id", "n", "s1", "s2", "g", *BITS]
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in longs) + ", prefix array<long>")
 
 
 def _packed(texts: DataFrame) -> DataFrame:
@@ -152,33 +153,18 @@ def _verified(pairs: DataFrame, size: int, percent: int) -> DataFrame:
 def _close(percent: int) -> str:
     """Without loss: sizes and sketches of a pair that can still be similar enough."""
     least = f"((x.n + y.n) * {percent} + {100 + percent} - 1) div {100 + percent}"
-    apart = " + ".join(f"bit_count(x.sketch[{i}] ^ y.sketch[{i}])" for i in range(SKETCH))
+    apart = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in BITS)
     return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {apart} <= x.n + y.n - 2 * ({least})"
 
 
-def _wide_close(pairs: DataFrame, percent: int) -> DataFrame:
-    """a, b of a, b, n_a, n_b, wide_a, wide_b: without loss, the pairs that their wide sketches don't rule out.
+def _enough(percent: int) -> str:
+    """Without loss: sizes n_x, n_y and the number k of common prefix shingles of a pair that can be similar enough.
 
-    A sketch folds to half its bits by the parity of its halves, so both are brought to the smaller one's size.
+    Of the two prefixes' last shingles one is first in the global order. That set's common shingles up to
+    it are in both prefixes; beyond its prefix it has ceil(percent * n / 100) - 1 more.
     """
-
-    def run(batches):
-        for batch in batches:
-            fits = []
-            for at in range(batch.num_rows):
-                n = batch.column(2)[at].as_py() + batch.column(3)[at].as_py()
-                x, y = (batch.column(c)[at].values for c in (4, 5))
-                if x is None or y is None:
-                    fits.append(True)
-                    continue
-                k = min(len(x), len(y))
-                x, y = (np.bitwise_xor.reduce(z.to_numpy().reshape(-1, k)) for z in (x, y))
-                least = -(-n * percent // (100 + percent))
-                fits.append(int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= n - 2 * least)
-            keep = pa.array(fits, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
+    beyond = f"({percent} * greatest(n_x, n_y) + 99) div 100 - 1"
+    return f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y) and {100 + percent} * (k + {beyond}) >= {percent} * (n_x + n_y)"
 
 
 def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -192,114 +178,104 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     2. Representatives with the same prefix (the |A| - ceil(t|A|) + 1 first shingles of a global order,
        common shingles last) and size are one group; only groups are posted under the prefix's shingles.
     3. Each group meets the group with the least doc_id of each shingle it is posted under, and each
-       member its group's least member: as many pairs as postings. Of the pairs that sizes and parity
-       sketches, which grow with the sets, can't rule out, each document's first is verified on whole
-       texts, and components found.
+       member its group's least member. Of a group's pairs the one with most common prefix shingles is
+       verified on whole texts, and components are found.
     4. Only shingles whose postings are then in different components are looked at again, and groups
-       whose members are: pairs of groups that fit are expanded to members, which sketches rule out or
-       whole sets verify.
+       whose members are. Under such a shingle the groups outside its largest component meet, by bands
+       of size, those of other components; so one large cluster under a shingle isn't paired with itself.
+       Pairs of groups with enough common prefix shingles are expanded to members, which sketches rule
+       out or whole sets verify.
     Steps 3 and 4 lose no link between components; links inside a component aren't needed.
 
     * Null or empty text, or only blanks: n_shingles 0, linked with nothing.
     * Null doc_id: left out. Repeated rows of a doc_id: one result row (of differing texts, the largest
       set and the least component). An empty table gives an empty result; other columns are left out.
+    * Very long texts count as a whole: their words are hashed block by block, and their prefix grows with them.
     """
     spark = docs.sparkSession
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scratch = Scratch(spark)
-    arrow_rows(spark, 1000)
     texts = own.where("text is not null")
+    with arrow_rows(spark, 1000), Scratch(spark) as scratch:
+        linked = checkpointed(_linked(texts, size, percent, scratch))
+    all_ids = own.select("doc_id").distinct()
+    return all_ids.join(linked.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").select(
+        "doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+    )
+
+
+def _linked(texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """doc_id, n_shingles, component_id of documents with a word. Sides that grow with the documents are always shuffled."""
     every = scratch.table(profiles(texts, size, percent, common_shingles(texts, size)))
-    same = scratch.table(every.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
-    # whole sets are dealt out by doc_id only where rows of one have to be brought together
-    chosen = every.join(broadcast_if_small(scratch.table(same.select(F.col("rep").alias("doc_id")).distinct())), "doc_id", "left_semi")
-    if not every.groupBy("doc_id", "s1", "s2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty():
-        chosen = chosen.dropDuplicates(["doc_id", "s1", "s2"])
-    whole = scratch.table(chosen.select(F.col("doc_id").alias("rep"), "n", "g", "sketch", "wide", "prefix"))
-    reps, wide = scratch.table(whole.select("rep", "n", "g", "sketch")), scratch.table(whole.where("wide is not null").select("rep", "wide"))
+    reps = every.groupBy("s1", "s2", "n", "g").agg(F.min("doc_id").alias("rep"), *[F.min(b).alias(b) for b in BITS])
+    reps = scratch.table(reps)
+    groups = scratch.table(reps.groupBy("g").agg(F.min("rep").alias("head"), F.max("n").alias("n"), F.count(F.lit(1)).alias("members")))
+    heads = groups.select(F.col("head").alias("doc_id"), "g").hint("merge")
+    posted = scratch.table(every.select("doc_id", "g", "prefix").join(heads, ["doc_id", "g"], "left_semi").select(F.col("doc_id").alias("head"), "prefix"))
     names = scratch.table(every.select("doc_id", "n", "s1", "s2"))
     scratch.drop(every)
 
-    groups = scratch.table(reps.groupBy("g").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("members")))
-    members = scratch.table(reps.select("rep", "g").join(groups.where("members > 1").select("g", "head"), "g").where("rep <> head").select("rep", "g", "head"))
-    heads = whole.select("rep", "n", "g", "prefix").join(broadcast_if_small(members.select("rep", "g")), ["rep", "g"], "left_anti")
-    posted = heads.select(F.explode("prefix").alias("h"), "rep", "n")
-    shared = posted.groupBy("h").agg(F.min(F.struct("rep", "n")).alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    shared = scratch.table(shared.select(F.col("h").alias("h2"), F.col("least.rep").alias("lead"), F.col("least.n").alias("lead_n")))
-    posted = scratch.table(posted.join(shared, F.col("h") == F.col("h2")).select("h", "rep", "n", "lead", "lead_n"))
+    whole, posted = posted, posted.select(F.explode("prefix").alias("h"), "head")
+    shared = posted.groupBy("h").agg(F.min("head").alias("lead"), F.max("head").alias("last")).where("lead <> last")
+    shared = scratch.table(shared.select(F.col("h").alias("h2"), "lead"))
+    posted = scratch.table(posted.join(shared.hint("merge"), F.col("h") == F.col("h2")).select("h", "head", "lead"))
     scratch.drop(whole)
     scratch.drop(shared)
+    scratch.release()
 
-    fits = f"100 * least(n, lead_n) >= {percent} * greatest(n, lead_n) and rep <> lead"
-    inside = members.select(F.col("rep").alias("a"), F.col("head").alias("b"))
-    first = posted.where(fits).select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct().unionByName(inside)
-    sketches = scratch.table(reps.select("rep", "n", "sketch"))
-
-    def ruled(pairs: DataFrame) -> DataFrame:
-        x, y = sketches.alias("x"), sketches.alias("y")
-        near = pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).where(_close(percent))
-        return finely(near.select("a", "b", F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")))
-
-    def finely(near: DataFrame) -> DataFrame:
-        near = scratch.table(near)
-        x, y = (wide.select(F.col("rep").alias(f"r_{s}"), F.col("wide").alias(f"wide_{s}")) for s in "ab")
-        large = F.least("n_a", "n_b") > WIDE
-        met = near.where(large).join(x, F.col("a") == F.col("r_a")).join(y, F.col("b") == F.col("r_b"))
-        found = _wide_close(met.select("a", "b", "n_a", "n_b", "wide_a", "wide_b"), percent)
-        return near.where(~large).select("a", "b").unionByName(found)
+    sizes = [groups.select(F.col("head").alias(f"head_{s}"), F.col("n").alias(f"n_{s}")).hint("merge") for s in "xy"]
+    first = posted.where("head <> lead").groupBy(F.col("head").alias("a"), F.col("lead").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+    first = first.join(sizes[0], F.col("a") == F.col("head_x")).join(sizes[1], F.col("b") == F.col("head_y")).where(_enough(percent))
+    first = first.groupBy("a").agg(F.max(F.struct("k", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
+    x = reps.join(groups.where("members > 1").select("g", "head"), "g").where("rep <> head").alias("x")
+    inside = x.join(reps.alias("y").hint("merge"), F.col("x.head") == F.col("y.rep")).where(f"x.g = y.g and {_close(percent)}")
+    inside = inside.select(F.col("x.rep").alias("a"), F.col("x.head").alias("b"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Texts go to pairs, once for each and packed, not sets of 64-bit numbers."""
         pairs = scratch.table(pairs)
-        left = texts.join(broadcast_if_small(pairs), F.col("doc_id") == F.col("a")).select("a", F.col("b").alias("to"), "text")
+        left = texts.join(broadcast_if_small(pairs, PAIR_ROWS), F.col("doc_id") == F.col("a")).select("a", F.col("b").alias("to"), "text")
         asked = scratch.table(pairs.select("b").distinct())
-        scratch.release()
-        right = texts.join(broadcast_if_small(asked), F.col("doc_id") == F.col("b")).select("b", "text")
+        right = texts.join(broadcast_if_small(asked, PAIR_ROWS), F.col("doc_id") == F.col("b")).select("b", "text")
         left, right = _packed(left).withColumnRenamed("packed", "packed_a"), _packed(right).withColumnRenamed("packed", "packed_b")
-        both = left.join(right, F.col("to") == F.col("b")).select("a", "packed_a", "b", "packed_b")
+        both = left.join(right.hint("merge"), F.col("to") == F.col("b")).select("a", "packed_a", "b", "packed_b")
         found = scratch.table(_verified(both, size, percent))
         scratch.release()
         return found
 
-    scratch.release()
-    # of each document's pairs the one with the least doc_id; step 4 looks at the others as far as they matter
-    edges = verified(ruled(first).groupBy("a").agg(F.min("b").alias("b")))
+    edges = verified(first.unionByName(inside))
     labels = components(edges, scratch)
 
     def labelled(df: DataFrame, key: str) -> DataFrame:
         c = labels.select(F.col("v").alias("__v"), F.col("c").alias("__c"))
         return df.join(c, F.col(key) == F.col("__v"), "left").withColumn("c", F.coalesce("__c", key)).drop("__v", "__c")
 
-    member = scratch.table(labelled(reps.join(groups.select("g", "head"), "g").select("rep", "n", "sketch", "head"), "rep"))
-    span = member.groupBy("head").agg(F.min("c").alias("c_min"), F.max("c").alias("c_max"), F.count(F.lit(1)).alias("members"))
-    seen = posted.select("h", F.col("rep").alias("head")).join(span, "head")
-    mixed = seen.groupBy("h").agg(F.min("c_min").alias("lo"), F.max("c_max").alias("hi")).where("lo <> hi").select("h")
-    # postings of groups; of a group with one member its sketch and component hold for the group
-    heads = span.join(sketches, F.col("head") == F.col("rep")).drop("rep")
-    open_ = scratch.table(posted.select("h", F.col("rep").alias("head")).join(scratch.table(mixed), "h").join(heads, "head"))
-    x, y = open_.alias("x"), open_.alias("y")
-    sizes = f"x.head < y.head and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    member = scratch.table(labelled(reps.join(groups.select("g", "head"), "g").select("rep", "n", *BITS, "head"), "rep"))
+    span = scratch.table(member.groupBy("head").agg(F.max("n").alias("n"), F.min("c").alias("c_min"), F.max("c").alias("c_max")))
+    seen = scratch.table(posted.select("h", "head").join(span.hint("merge"), "head"))
+    parts = seen.groupBy("h", "c_min").agg(F.max("c_max").alias("c_max"), F.count(F.lit(1)).alias("k"))
+    mixed = parts.groupBy("h").agg(F.max(F.struct("k", "c_min")).alias("most"), F.min("c_min").alias("lo"), F.max("c_max").alias("hi")).where("lo <> hi")
+    mixed = scratch.table(mixed.select(F.col("h").alias("h2"), F.col("most.c_min").alias("largest")))
+    size_log = F.log("n") / F.log(F.lit(100 / percent))
+    open_ = seen.join(mixed.hint("merge"), F.col("h") == F.col("h2")).drop("h2").withColumn("within", F.expr("c_min = largest and c_max = largest"))
+    open_ = scratch.table(open_.drop("largest").withColumn("size_log", size_log))
+    y = open_.withColumn("band", F.floor("size_log")).drop("size_log").alias("y")
+    x = open_.where("not within").withColumn("band", F.explode(F.sequence(F.floor(F.col("size_log") - 1 - 1e-9), F.floor(F.col("size_log") + 1 + 1e-9)))).drop("size_log").alias("x").hint("merge")
+    fits = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and (y.within or x.head < y.head)"
     apart = "(x.c_min <> x.c_max or y.c_min <> y.c_max or x.c_min <> y.c_min)"
-    met = x.join(y, (F.col("x.h") == F.col("y.h")) & F.expr(f"{sizes} and {apart} and (x.members > 1 or y.members > 1 or ({_close(percent)}))"))
-    met = met.select(F.col("x.head").alias("hx"), F.col("y.head").alias("hy")).distinct()
+    met = y.join(x, (F.col("x.h") == F.col("y.h")) & (F.col("x.band") == F.col("y.band")) & F.expr(f"{fits} and {apart}"))
+    met = met.select(F.col("x.head").alias("hx"), F.col("y.head").alias("hy"), F.col("x.n").alias("n_x"), F.col("y.n").alias("n_y"))
+    met = met.groupBy("hx", "hy", "n_x", "n_y").agg(F.count(F.lit(1)).alias("k")).where(_enough(percent)).select("hx", "hy")
     same_group = span.where("c_min <> c_max").select(F.col("head").alias("hx"), F.col("head").alias("hy"))
     met = scratch.table(met.unionByName(same_group))
-    x, y = member.alias("x"), member.alias("y")
+    x, y = member.alias("x").hint("merge"), member.alias("y").hint("merge")
     second = met.join(x, F.col("hx") == F.col("x.head")).join(y, (F.col("hy") == F.col("y.head")) & F.expr(f"(hx <> hy or x.rep < y.rep) and x.c <> y.c and {_close(percent)}"))
-    second = second.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
-    second = scratch.table(finely(second.distinct()))
+    second = scratch.table(second.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
     if not second.isEmpty():
-        edges = edges.unionByName(verified(second))
-        labels = components(edges, scratch)
+        labels = components(edges.unionByName(verified(second)), scratch)
 
+    same = reps.select("s1", "s2", "n", "rep").hint("merge")
     names = names.join(same, ["s1", "s2", "n"]).select("doc_id", "n", "rep")
-    linked = labelled(names, "rep").groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("c").alias("component_id"))
-    linked = checkpointed(linked)
-    scratch.drop()
-    all_ids = own.select("doc_id").distinct()
-    return all_ids.join(linked.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").select(
-        "doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    return labelled(names, "rep").groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("c").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
