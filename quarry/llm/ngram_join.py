@@ -178,13 +178,13 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     2. Representatives with the same prefix (the |A| - ceil(t|A|) + 1 first shingles of a global order,
        common shingles last) and size are one group; only groups are posted under the prefix's shingles.
     3. Each group meets the group with the least doc_id of each shingle it is posted under, and each
-       member its group's least member. Of a group's pairs the one with most common prefix shingles is
-       verified on whole texts, and components are found.
+       member its group's least member. Of a group's pairs that sizes and parity sketches can't rule out,
+       the one with most common prefix shingles is verified on whole texts, and components are found.
     4. Only shingles whose postings are then in different components are looked at again, and groups
        whose members are. Under such a shingle the groups outside its largest component meet, by bands
        of size, those of other components; so one large cluster under a shingle isn't paired with itself.
-       Pairs of groups with enough common prefix shingles are expanded to members, which sketches rule
-       out or whole sets verify.
+       Pairs of groups that sketches can't rule out, and with enough common prefix shingles, are expanded
+       to members, which sketches rule out or whole sets verify.
     Steps 3 and 4 lose no link between components; links inside a component aren't needed.
 
     * Null or empty text, or only blanks: n_shingles 0, linked with nothing.
@@ -222,9 +222,9 @@ def _linked(texts: DataFrame, size: int, percent: int, scratch: Scratch) -> Data
     scratch.drop(shared)
     scratch.release()
 
-    sizes = [groups.select(F.col("head").alias(f"head_{s}"), F.col("n").alias(f"n_{s}")).hint("merge") for s in "xy"]
+    x, y = (groups.join(reps.hint("merge"), F.col("head") == F.col("rep")).select("head", reps.n, *BITS).alias(s).hint("merge") for s in "xy")
     first = posted.where("head <> lead").groupBy(F.col("head").alias("a"), F.col("lead").alias("b")).agg(F.count(F.lit(1)).alias("k"))
-    first = first.join(sizes[0], F.col("a") == F.col("head_x")).join(sizes[1], F.col("b") == F.col("head_y")).where(_enough(percent))
+    first = first.join(x, F.col("a") == F.col("x.head")).join(y, F.col("b") == F.col("y.head")).where(_close(percent))
     first = first.groupBy("a").agg(F.max(F.struct("k", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
     x = reps.join(groups.where("members > 1").select("g", "head"), "g").where("rep <> head").alias("x")
     inside = x.join(reps.alias("y").hint("merge"), F.col("x.head") == F.col("y.rep")).where(f"x.g = y.g and {_close(percent)}")
@@ -250,19 +250,20 @@ def _linked(texts: DataFrame, size: int, percent: int, scratch: Scratch) -> Data
         return df.join(c, F.col(key) == F.col("__v"), "left").withColumn("c", F.coalesce("__c", key)).drop("__v", "__c")
 
     member = scratch.table(labelled(reps.join(groups.select("g", "head"), "g").select("rep", "n", *BITS, "head"), "rep"))
-    span = scratch.table(member.groupBy("head").agg(F.max("n").alias("n"), F.min("c").alias("c_min"), F.max("c").alias("c_max")))
-    seen = scratch.table(posted.select("h", "head").join(span.hint("merge"), "head"))
+    span = scratch.table(member.groupBy("head").agg(F.max("n").alias("n"), F.min("c").alias("c_min"), F.max("c").alias("c_max"), F.count(F.lit(1)).alias("members"), *[F.min(b).alias(b) for b in BITS]))
+    seen = scratch.table(posted.select("h", "head").join(span.select("head", "c_min", "c_max").hint("merge"), "head"))
     parts = seen.groupBy("h", "c_min").agg(F.max("c_max").alias("c_max"), F.count(F.lit(1)).alias("k"))
     mixed = parts.groupBy("h").agg(F.max(F.struct("k", "c_min")).alias("most"), F.min("c_min").alias("lo"), F.max("c_max").alias("hi")).where("lo <> hi")
     mixed = scratch.table(mixed.select(F.col("h").alias("h2"), F.col("most.c_min").alias("largest")))
     size_log = F.log("n") / F.log(F.lit(100 / percent))
     open_ = seen.join(mixed.hint("merge"), F.col("h") == F.col("h2")).drop("h2").withColumn("within", F.expr("c_min = largest and c_max = largest"))
-    open_ = scratch.table(open_.drop("largest").withColumn("size_log", size_log))
+    sized = span.select("head", "n", "members", size_log.alias("size_log"), *BITS)  # a sketch holds for a group of one
+    open_ = scratch.table(open_.drop("largest").join(sized.hint("merge"), "head"))  # by head, so that copies of a sketch pack well
     y = open_.withColumn("band", F.floor("size_log")).drop("size_log").alias("y")
     x = open_.where("not within").withColumn("band", F.explode(F.sequence(F.floor(F.col("size_log") - 1 - 1e-9), F.floor(F.col("size_log") + 1 + 1e-9)))).drop("size_log").alias("x").hint("merge")
     fits = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and (y.within or x.head < y.head)"
     apart = "(x.c_min <> x.c_max or y.c_min <> y.c_max or x.c_min <> y.c_min)"
-    met = y.join(x, (F.col("x.h") == F.col("y.h")) & (F.col("x.band") == F.col("y.band")) & F.expr(f"{fits} and {apart}"))
+    met = y.join(x, (F.col("x.h") == F.col("y.h")) & (F.col("x.band") == F.col("y.band")) & F.expr(f"{fits} and {apart} and (x.members > 1 or y.members > 1 or {_close(percent)})"))
     met = met.select(F.col("x.head").alias("hx"), F.col("y.head").alias("hy"), F.col("x.n").alias("n_x"), F.col("y.n").alias("n_y"))
     met = met.groupBy("hx", "hy", "n_x", "n_y").agg(F.count(F.lit(1)).alias("k")).where(_enough(percent)).select("hx", "hy")
     same_group = span.where("c_min <> c_max").select(F.col("head").alias("hx"), F.col("head").alias("hy"))
