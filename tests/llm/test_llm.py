@@ -204,19 +204,6 @@ def test_substring_dedup_functions_find_windows_at_the_similarity():
     assert half <= 0.125
 
 
-def test_decontamination_against_brute_force(spark):
-    rng = random.Random(4)
-    items = [(i, words(rng, 20) + ". " + words(rng, 6) + ".") for i in range(30)] + [(90, None), (91, ""), (92, "!!")]
-    rows = [(i, words(rng, 150), "en", "s") for i in range(40)]
-    rows += [(100 + i, f"{words(rng, 90)} {items[i][1]} {words(rng, 20)}", "en", "s") for i in range(10)] + [(200, None, None, None), (201, "", "en", "s")]
-    table = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs(spark, rows), table).collect()}
-    assert got == decontamination.brute_force([(i, t) for i, t, *_ in rows], items[:30]) and len(got) >= 10
-    left = decontamination.decontaminate(docs(spark, rows), table)
-    assert {r.doc_id for r in left.collect()} == {i for i, *_ in rows} - {d for d, _ in got} and left.columns == docs(spark, rows).columns
-    assert decontamination.contaminated(docs(spark, rows), table.limit(0)).count() == 0
-
-
 def test_mixing_budgets(spark):
     rows = [(i, "w " * (1 + i % 7), "en" if i % 3 else None, f"src{i % 5}") for i in range(300)] + [(900, None, "en", "src1"), (None, "w", "en", "src1")]
     got = mixing.mix(docs(spark, rows), mixing.default_levels(), mixing.WEIGHTS, 0.5, 2, 1).collect()
