@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import fold
 
-#: Dimensions of the vectors, letters of an n-gram, documents to learn from per language.
-DIM, NGRAM, SAMPLE = 1024, 3, 600
+#: Dimensions of the vectors, letters of an n-gram, documents to learn from per language, languages at most.
+DIM, NGRAM, SAMPLE, LANGUAGES = 1024, 3, 600, 500
+#: Parts of a unit vector's length that are summed, in whole numbers, so that the order of summing doesn't matter.
+PARTS = 1 << 24
 #: Letters that get vectors of their own are told apart by code modulo this; the sign between words is 0.
 SLOTS = 1021
 #: Documents and distinct n-grams that are turned into vectors at once; characters of a text that are read at once.
@@ -90,21 +92,19 @@ def cosine(vectors: np.ndarray, prototypes: np.ndarray) -> np.ndarray:
     return (vectors / norm) @ (prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-9)).T
 
 
+def unit_vectors(counted: list[tuple[np.ndarray, np.ndarray]], letters: np.ndarray) -> np.ndarray:
+    vectors = bundle(counted, letters)
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+
+
 class Profiles:
     """Prototypes of languages: the bundle of a language's n-grams, less what all have in common."""
 
-    def __init__(self, texts: list[str], langs: list[str], dim: int = DIM, seed: int = 7):
-        self.dim, self.seed = dim, seed
-        self.langs = sorted(set(langs))
-        letters = letter_vectors(dim, seed)
-        sums = np.zeros((len(self.langs), dim), np.float32)
-        for a in range(0, len(texts), ROWS):
-            vectors = bundle([ngram_counts(t) for t in texts[a : a + ROWS]], letters)
-            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-            for v, lang in zip(vectors, langs[a : a + ROWS], strict=True):
-                sums[self.langs.index(lang)] += v
-        self.prototypes = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-        self.common = self.prototypes.mean(axis=0) if len(self.langs) > 1 else np.zeros(dim, np.float32)
+    def __init__(self, langs: list[str], sums: np.ndarray, dim: int = DIM, seed: int = 7):
+        """langs in order, and for each the sum of its documents' unit vectors."""
+        self.dim, self.seed, self.langs = dim, seed, langs
+        self.prototypes = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        self.common = self.prototypes.mean(axis=0) if len(langs) > 1 else np.zeros(dim, np.float32)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         counted = [ngram_counts(t or "") for t in texts]
@@ -115,8 +115,7 @@ class Profiles:
             rows = some[a : a + ROWS]
             if not self.langs:
                 break
-            vectors = bundle([counted[i] for i in rows], letters)
-            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+            vectors = unit_vectors([counted[i] for i in rows], letters)
             near = cosine(vectors - self.common, self.prototypes - self.common)
             best = near.argmax(axis=1)
             for i, b, s in zip(rows, best, near.max(axis=1), strict=True):
@@ -124,30 +123,56 @@ class Profiles:
         return names, scores
 
 
-def language_id(docs: DataFrame, sample: int = SAMPLE, dim: int = DIM, seed: int = 7) -> DataFrame:
+def fit(pool: DataFrame, sample: int, languages: int, dim: int, seed: int) -> Profiles:
+    """Profiles from at most `sample` documents of each of the `languages` most frequent values of lang.
+
+    pool: doc_id, lang, text, all of them known. A language's documents are those whose seeded hash is
+    least: a count says below which hash they must be, so no task sees more than about two samples of a
+    language. Only the languages' vectors reach the driver.
+    """
+    counts = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    least = F.least(F.lit(1.0), F.lit(1.5 * sample + 60) / F.col("n")) * F.lit(float(1 << 53))
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11)
+    near = pool.select("doc_id", "lang", u.alias("u")).join(F.broadcast(counts), "lang").where(F.col("u") < least)
+    order = W.partitionBy("lang").orderBy("u", "doc_id")
+    chosen = near.select("doc_id", "lang", "u").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id", "lang")
+    texts = pool.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = letter_vectors(dim, seed)
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                vectors = np.rint(unit_vectors([ngram_counts(t) for t in part.column(1).to_pylist()], letters).astype(np.float64) * PARTS).astype(np.int64)
+                names = np.array(part.column(0).to_pylist(), object)
+                some = sorted(set(names))
+                sums = [vectors[names == x].sum(axis=0) for x in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(sums, pa.list_(pa.int64()))], ["lang", "v"])
+
+    parts = texts.select("lang", "text").mapInArrow(run, "lang string, v array<long>").select("lang", F.posexplode("v").alias("d", "x"))
+    total = parts.groupBy("lang", "d").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).getField("x").alias("v"))
+    found = sorted((r.lang, r.v) for r in total.collect())  # `languages` rows at most
+    return Profiles([x for x, _ in found], np.array([v for _, v in found], np.float64).reshape(len(found), dim), dim, seed)
+
+
+def language_id(docs: DataFrame, sample: int = SAMPLE, dim: int = DIM, seed: int = 7, languages: int = LANGUAGES) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs, over its whole text.
 
     Prototypes are learned from at most `sample` texts per language (those whose seeded hash of doc_id is
-    least) among rows with text and lang whose crc32(doc_id) mod 3 is not 1; the rest is held out. The
-    sample is the only thing that reaches the driver. score is (1 + cosine) / 2 against the chosen
-    prototype; all vectors are taken relative to the mean prototype.
+    least) among rows with text and lang whose crc32(doc_id) mod 3 is not 1; the rest is held out. Of a
+    column with more than `languages` values the most frequent ones are learned. score is (1 + cosine) / 2
+    against the chosen prototype; all vectors are taken relative to the mean prototype.
 
     * Null text, or text without a letter: `und`, 0. So are all rows if there is nothing to learn from.
-    * Null doc_id: not held out, never learned from. Repeated rows: a row each, learned from at most once
-      per distinct (doc_id, lang, text). Ties between languages go to the first in alphabetical order.
+    * Null doc_id: not held out, never learned from. Repeated rows: a row each; a doc_id is learned from
+      once per language, by the first of its texts in order. Very long texts are read in parts, as a whole.
+    * Ties between languages go to the first in alphabetical order.
     * An empty table gives an empty result. Other columns are left out.
     """
     held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     pool = own.where("doc_id is not null and lang is not null and text is not null").where(~held)
-    order = W.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-    chosen = pool.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id", "lang")
-    langs = chosen.select("lang").distinct().count()
-    assert langs <= 10_000, "a language column with that many values isn't one"
-    texts = pool.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("doc_id", "lang", "text").distinct()
-    rows = sorted((r.doc_id, r.lang, r.text) for r in texts.toLocalIterator())
-    profiles = Profiles([r[2] for r in rows], [r[1] for r in rows], dim, seed)
-    sent = docs.sparkSession.sparkContext.broadcast(profiles)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(pool, sample, languages, dim, seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value

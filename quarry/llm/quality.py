@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,19 +60,24 @@ def features(text: str | None) -> np.ndarray:
     return np.concatenate([np.sqrt(pairs / n), np.sqrt(marks[list(MARKS)] / n), stats]).astype(np.float32)
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, slack: float = 1.0) -> float:
+#: Scores' steps to one, by which the unlabelled are counted.
+STEPS = 64
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, counts: np.ndarray | None = None, slack: float = 1.0) -> float:
     """The share of positives among the unlabelled, from scores that put positives on top.
 
     No set of scores from t up can hold more of the unlabelled than prior * the positives' share of it
     plus negatives; so the least ratio of the two shares over t, with a bound for the samples' error,
-    is an estimate from above.
+    is an estimate from above. counts: how often each of the unlabelled scores occurs, once if not given.
     """
     if not len(positive) or not len(unlabelled):
         return 0.5
+    counts = np.ones(len(unlabelled)) if counts is None else counts
     at = np.unique(np.quantile(positive, np.linspace(0.02, 0.95, 60)))
     p = (positive[None, :] >= at[:, None]).mean(axis=1)
-    u = (unlabelled[None, :] >= at[:, None]).mean(axis=1)
-    error = slack * (np.sqrt(1 / (4 * len(positive))) + np.sqrt(1 / (4 * len(unlabelled))))
+    u = np.array([counts[unlabelled >= t].sum() for t in at]) / counts.sum()
+    error = slack * (np.sqrt(1 / (4 * len(positive))) + np.sqrt(1 / (4 * counts.sum())))
     best = np.argmin((u + error) / np.maximum(p, 1e-6))
     return float(np.clip(u[best] / max(p[best], 1e-6), 0.05, 0.98))
 
@@ -87,10 +92,11 @@ class PuModel:
     The risk is prior * R+(p) + max(0, R-(u) - prior * R-(p)), with logistic losses; when the second
     part is negative, the step goes up its slope instead, which undoes overfitting. The prior is
     estimated from the scores of a first classifier of positives against unlabelled rows, fitted on one
-    half and read off the other.
+    half of both: those of the positives' other half against those that `everyone` gives for its logits,
+    as scores and counts, or else of the unlabelled rows' other half.
     """
 
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, hidden: int = 24, steps: int = 1500, seed: int = 3):
+    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, everyone: Callable | None = None, hidden: int = 24, steps: int = 1500, seed: int = 3):
         every = np.concatenate([positive, unlabelled])
         self.mean, self.scale = every.mean(axis=0), every.std(axis=0) + 1e-3
         p, u = self._norm(positive), self._norm(unlabelled)
@@ -98,7 +104,8 @@ class PuModel:
         p, u = p[rng.permutation(len(p))], u[rng.permutation(len(u))]
         hp, hu = max(1, len(p) // 2), max(1, len(u) // 2)
         first = self._fit(p[:hp], u[:hu], None, hidden, steps // 2, rng)
-        self.prior = class_prior(self._logit(p[hp:], first), self._logit(u[hu:], first))
+        others = everyone(lambda x: self._logit(self._norm(x), first)) if everyone else (self._logit(u[hu:], first),)
+        self.prior = class_prior(self._logit(p[hp:], first), *others)
         self.weights = self._fit(p, u, self.prior, hidden, steps, rng)
 
     def _norm(self, x: np.ndarray) -> np.ndarray:
@@ -143,36 +150,53 @@ class PuModel:
 
 
 def _features_of(rows: DataFrame) -> DataFrame:
-    """rows: kind, text. Gives kind, x."""
+    """rows: kind, h, doc_id, text. Gives kind, h, doc_id, x."""
+
+    def run(batches):
+        for batch in batches:
+            xs = [features(t.as_py()).tolist() for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(xs, pa.list_(pa.float32()))], ["kind", "h", "doc_id", "x"])
+
+    return rows.mapInArrow(run, "kind int, h long, doc_id long, x array<float>")
+
+
+def _counted(texts: DataFrame, logit: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of all texts, rounded to steps, and how many have each: a bounded histogram reaches the driver."""
 
     def run(batches):
         for batch in batches:
-            xs = [features(t.as_py()).tolist() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(xs, pa.list_(pa.float32()))], ["kind", "x"])
+            if batch.num_rows:
+                z = logit(np.stack([features(t.as_py()) for t in batch.column(0)]))
+                at, n = np.unique(np.rint(np.clip(z, -40, 40) * STEPS).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n, pa.int64())], ["z", "n"])
 
-    return rows.mapInArrow(run, "kind int, x array<float>")
+    found = texts.mapInArrow(run, "z long, n long").groupBy("z").agg(F.sum("n").alias("n")).toArrow()
+    return found.column("z").to_numpy() / STEPS, found.column("n").to_numpy().astype(float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = 3) -> PuModel | None:
     """A model from bounded samples: rows whose seeded hash of doc_id is least. None if either kind is missing.
 
     Positives are labelled quality 1, unlabelled are any rows, whatever their label. Rows with
-    crc32(doc_id) mod 4 of 2 give neither. Only feature vectors of the samples reach the driver.
+    crc32(doc_id) mod 4 of 2 give neither. A doc_id counts once, with the first of its texts in order.
+    The class prior is estimated from the scores of all other rows, of which a histogram, and of the
+    samples feature vectors, reach the driver. Rows are put in the order of their hashes: the fit
+    doesn't depend on how the tables are dealt out.
     """
     own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(fold("doc_id", 4) != 2)
-    order = [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")]
+    h = F.xxhash64(F.lit(seed), "doc_id")
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"))
-    good = good.where("q = 1").where(fold("doc_id", 4) != 2).orderBy(*order).limit(positives).select("doc_id", F.lit(1).alias("kind"))
-    web = own.select("doc_id").orderBy(*order).limit(unlabelled).distinct().select("doc_id", F.lit(0).alias("kind"))
-    ids = good.unionByName(web)
-    rows = _features_of(own.join(F.broadcast(ids), "doc_id").select("kind", "text")).toArrow()
+    good = good.where("q = 1").where(fold("doc_id", 4) != 2).orderBy(h, "doc_id").limit(positives).select("doc_id", F.lit(1).alias("kind"))
+    web = own.select("doc_id").orderBy(h, "doc_id").limit(unlabelled).distinct().select("doc_id", F.lit(0).alias("kind"))
+    sample = own.join(F.broadcast(good.unionByName(web)), "doc_id").groupBy("kind", "doc_id").agg(F.min("text").alias("text"))
+    rows = _features_of(sample.select("kind", h.alias("h"), "doc_id", "text")).toArrow()
     kind = rows.column("kind").to_numpy()
-    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(kind), -1) if len(kind) else np.zeros((0, N_FEATURES))
-    order = np.lexsort((*x.T[:8], kind)) if len(kind) else []
-    kind, x = kind[order], x[order]  # Spark gives rows in any order; the fit must not depend on it
     if not (kind == 1).any() or not (kind == 0).any():
         return None
-    return PuModel(x[kind == 1], x[kind == 0], seed=seed)
+    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(kind), -1)
+    order = np.lexsort((rows.column("doc_id").to_numpy(), rows.column("h").to_numpy(), kind))
+    kind, x = kind[order], x[order]
+    return PuModel(x[kind == 1], x[kind == 0], lambda logit: _counted(own.select("text"), logit), seed=seed)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -181,6 +205,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     * Null text counts as empty. Without positives or unlabelled rows to learn from, all scores are 1.
     * Null doc_id: not held out, never learned from. Null labels teach nothing; of several labels of a
       doc_id the least counts. Repeated rows: a row each. An empty table gives an empty result.
+    * Very long texts are counted chunk by chunk, as a whole. Other columns are left out; ties don't occur.
     """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))

@@ -223,7 +223,8 @@ def test_models_learn():
     bad = np.stack([quality.features(words(rng, 50).upper().replace(" ", "!! ")) for _ in range(100)])
     model = quality.PuModel(good[:150], np.concatenate([good[150:], bad]), steps=400)
     assert (model.score(good[:50]) >= 0.7).mean() > 0.9 and (model.score(bad) < 0.7).mean() > 0.9
-    p = language_id.Profiles(["abcab abc " * 9, "xyzzy xyz " * 9], ["aa", "xx"])
+    learned = [language_id.ngram_counts(t) for t in ("abcab abc " * 9, "xyzzy xyz " * 9)]
+    p = language_id.Profiles(["aa", "xx"], language_id.unit_vectors(learned, language_id.letter_vectors(language_id.DIM, 7)))
     assert p.predict(["abc abcab", "zyx xyzzy", "12", None])[0] == ["aa", "xx", "und", "und"]
     assert language_id.ngram_counts("ab cd")[1].sum() == 5
 
