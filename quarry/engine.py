@@ -57,8 +57,11 @@ class Engine:
 
     def _finish(self, rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("item_id", sync.item_id("source_type", "identifier"))
-        vector = F.when(F.col("embed"), embedding("text")) if self.embed else F.lit(None).cast("array<float>")
-        return rows.withColumn("embedding", vector).select(*[c.split()[0] for c in ITEMS.split(", ")])
+        none, names = F.lit(None).cast("array<float>"), [c.split()[0] for c in ITEMS.split(", ")]
+        if not self.embed:
+            return rows.withColumn("embedding", none).select(*names)
+        asked = rows.where("embed").withColumn("embedding", embedding("text"))  # under when(), the encoder would run on every row
+        return asked.select(*names).unionByName(rows.where("not coalesce(embed, false)").withColumn("embedding", none).select(*names))
 
     def index_commits(self, all_branches: bool = True) -> int:
         """Adds commits that aren't there; how many."""
@@ -81,17 +84,21 @@ class Engine:
         if kind == "code":
             rows = symbols.symbols(changed)
             meta = F.to_json(F.struct("file_path", "line_start", "line_end", "symbol_kind", F.lit("rust").alias("language")))
-            rows = rows.select("identifier", "text", "file_path", "embed", meta.alias("metadata"))
+            rows = rows.select("identifier", "text", "file_path", "embed", meta.alias("metadata"), F.col("line_start").alias("place"))
         else:
             rows = chunking.chunks(changed.select("file_path", F.col("content").alias("source"), T.extension(F.col("file_path")).alias("extension")))
             per_file = rows.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
             name = F.when(F.col("n") == 1, F.col("file_path")).otherwise(F.concat_ws("::", "file_path", F.col("ordinal").cast("string")))
             meta = F.to_json(F.struct("file_path", F.col("ordinal").alias("chunk_ordinal"), "line_start", "line_end", "heading_path"), {"ignoreNullFields": "false"})
-            rows = rows.join(per_file, "file_path").select(name.alias("identifier"), "text", "file_path", F.lit(True).alias("embed"), meta.alias("metadata"))
-        rows = rows.withColumns({"source_type": F.lit(kind), "author": F.lit(None).cast("string")}).dropDuplicates(["identifier"])
+            rows = rows.join(per_file, "file_path").select(name.alias("identifier"), "text", "file_path", F.lit(True).alias("embed"), meta.alias("metadata"), F.col("ordinal").alias("place"))
+        rows = sync.upsert(rows, ["identifier"], ["place", "text"]).drop("place")
+        rows = rows.withColumns({"source_type": F.lit(kind), "author": F.lit(None).cast("string")})
         drop = changed.select("file_path").unionByName(gone)
         kept = self.items().where(F.col("source_type") != kind).unionByName(self.items().where(F.col("source_type") == kind).join(drop, "file_path", "left_anti"))
-        state = current.select(F.lit(kind).alias("kind"), "file_path", "mtime", "content_hash", F.current_timestamp().alias("indexed_at"))
+        # a file that counts as unchanged by its time keeps the hash of what was indexed
+        old = registry.select("file_path", F.col("content_hash").alias("indexed_hash"))
+        kept_hash = F.when(F.col("state") == "unchanged", F.coalesce("indexed_hash", "content_hash")).otherwise(F.col("content_hash"))
+        state = current.join(states, "file_path").join(old, "file_path", "left").select(F.lit(kind).alias("kind"), "file_path", "mtime", kept_hash.alias("content_hash"), F.current_timestamp().alias("indexed_at"))
         fresh = self._finish(rows)
         self._write(kept.select(fresh.columns).unionByName(fresh), self.registry().where(F.col("kind") != kind).unionByName(state))
         return report | {"items": self.items().where(F.col("source_type") == kind).join(changed.select("file_path"), "file_path", "left_semi").count()}

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Latin letters and what they fold to.
-ACCENTED = "àâäáãåçèéêëìíîïñòóôöõùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Small Latin letters with one diacritic, by code, and the letter without it.
+FOLD = {c: parts[0] for c in range(0xE0, 0x1F00) if len(parts := unicodedata.normalize("NFD", chr(c))) == 2 and "a" <= parts[0] <= "z"}
+ACCENTED, PLAIN = "".join(map(chr, FOLD)), "".join(FOLD.values())
+#: Diacritics that are characters of their own.
+MARKS = "[\u0300-\u036f]+"
 
 
 def tokens(text: Column) -> Column:
     """Runs of letters and digits, in lower case, without Latin diacritics."""
-    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
+    return F.regexp_extract_all(F.regexp_replace(folded, MARKS, ""), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def canonical_path(path: Column, repo: str = "") -> Column:

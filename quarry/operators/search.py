@@ -50,21 +50,21 @@ def _starts(p: Phrase, tok: Column) -> Column:
 
 
 def _near(ps: list[Phrase], starts: list[Column], distance: int) -> list[Column]:
-    """Of each phrase's positions those inside a stretch that holds all phrases, `distance` tokens apart at most."""
+    """Of each phrase's positions those that a match has: each phrase stands at most its length and `distance` before the last one."""
 
-    def held(w: Column, n: int, i: Column | None = None) -> Column:
-        reach = w + (n + distance)
-        inside = reduce(lambda a, b: a & b, [F.exists(s, lambda x: (x >= w) & (x <= reach)) for s in starts])
-        return inside if i is None else inside & (i >= w) & (i <= reach)
+    def inside(p: Phrase, x: Column, last: Column) -> Column:
+        return (x >= last - (len(p.terms) + distance)) & (x <= last)
 
-    def instance(i: Column) -> Column:
-        def by(n: int, t: Column) -> Column:
-            return F.exists(t, lambda w: held(w, n, i))
+    def some(p: Phrase, s: Column, last: Column) -> Column:
+        return F.exists(s, lambda x: inside(p, x, last))
 
-        return reduce(lambda a, b: a | b, [by(len(q.terms), t) for q, t in zip(ps, starts, strict=True)])
+    def held(last: Column) -> Column:
+        return reduce(lambda a, b: a & b, [some(p, s, last) for p, s in zip(ps, starts, strict=True)])
 
-    out = [F.filter(s, instance) for s in starts]
-    return out
+    def matched(p: Phrase, own: Column) -> Column:
+        return F.filter(own, lambda x: reduce(lambda a, b: a | b, [F.exists(s, lambda last: inside(p, x, last) & held(last)) for s in starts]))
+
+    return [matched(p, s) for p, s in zip(ps, starts, strict=True)]
 
 
 def bm25(indexed: DataFrame, query: str, columns: tuple[str, ...] = ("text", "author"), key: str = "item_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -72,6 +72,8 @@ def bm25(indexed: DataFrame, query: str, columns: tuple[str, ...] = ("text", "au
 
     Each phrase's frequency is a column over the item's own tokens, the query's tree a boolean over those:
     no posting is joined or grouped. Statistics are of all items, in one aggregate; filter afterwards.
+    The items' narrow counts are kept in Spark's cache, memory or disk, so that texts are read and split
+    once for the statistics, the scores and all lists that are filtered from them; what is lost is computed again.
     """
     tree = parse(query, columns)
     found = phrases(tree)
@@ -113,7 +115,7 @@ def bm25(indexed: DataFrame, query: str, columns: tuple[str, ...] = ("text", "au
 
     match, active = walk(tree)
     raw = {k: count([F.size(f"__s{k}_{c}") for c in names(p)]) for k, p in enumerate(found)}
-    rows = scanned.select(key, *keep, "dl", match.alias("__m"), *[F.when(on, tf[k]).otherwise(0).alias(f"__f{k}") for k, on in active], *[(raw[k] > 0).alias(f"__d{k}") for k, _ in active])
+    rows = scanned.select(key, *keep, "dl", match.alias("__m"), *[F.when(on, tf[k]).otherwise(0).alias(f"__f{k}") for k, on in active], *[(raw[k] > 0).alias(f"__d{k}") for k, _ in active]).persist()
     stats = rows.agg(F.count(F.lit(1)).alias("__n"), F.avg("dl").alias("__avg"), *[F.count_if(f"__d{k}").alias(f"__n{k}") for k, _ in active])
     scored = rows.where("__m").join(F.broadcast(stats))  # one row of statistics
     score = F.lit(0.0)

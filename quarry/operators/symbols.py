@@ -12,7 +12,7 @@ SCHEMA = "identifier string, text string, symbol_kind string, file_path string,
 EXCERPT = 10
 
 _SKIP = re.compile(r"""//[^\n]*|/\*|b?r(#*)"|b?"(?:\\.|[^"\\])*"|b?'(?:\\(?:x[0-9a-fA-F]{2}|u\{[^}]*\}|.)|[^'\\\n])'""", re.S)
-_ITEM = re.compile(r"(?m)(?:^|(?<=[{};\]]))\s*(?:pub(?:\s*\([^)]*\))?\s+)?(?:(?:default|async|unsafe|extern|const(?=\s+(?:fn|unsafe|async|extern)))\s+)*(fn|struct|enum|trait|impl|mod|type|const|static|macro_rules!|use)\b")
+_ITEM = re.compile(r"(?m)(?:^|(?<=[{};\]]))\s*(?:pub(?:\s*\([^)]*\))?\s+)?(?:(?:default|async|unsafe|extern|const(?=\s+(?:fn|unsafe|async|extern)))\s+)*(macro_rules!|(?:fn|struct|enum|trait|impl|mod|type|const|static|use)\b)")
 # What items are called.
 _KIND = {"fn": "function", "struct": "struct", "enum": "enum", "trait": "trait", "mod": "module", "type": "typealias", "const": "const", "static": "static", "macro_rules!": "macro"}
 
@@ -94,9 +94,15 @@ def extract(path: str, source: str) -> list[tuple]:
 
     def doc(at: int) -> str:
         k, own = line(at) - 2, []
-        while k >= 0 and (lines[k].strip().startswith(("///", "//!")) or lines[k].strip().startswith("/**")):
-            own.insert(0, lines[k].strip())
-            k -= 1
+        while k >= 0:
+            first = k
+            if lines[k].strip().endswith("*/"):  # a block comment may begin some lines before
+                while first > 0 and "/*" not in lines[first]:
+                    first -= 1
+            if not lines[first].strip().startswith(("///", "//!", "/**")):
+                break
+            own[:0] = [x.strip() for x in lines[first : k + 1]]
+            k = first - 1
         return "\n".join(own)
 
     def scan(lo: int, hi: int, mods: list[str], owner: str | None, kind_in: str) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import chunking, embed, search, symbols, sync
+from quarry.operators.walk import walk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -353,11 +354,12 @@ def commit_text_projection(spark, sf_dir):
 @query("WITH RECURSIVE w AS (SELECT conv_id, turn, 0 AS depth FROM conversations c WHERE turn = (SELECT max(turn) FROM conversations m WHERE m.conv_id = c.conv_id) UNION ALL SELECT c.conv_id, c.turn, w.depth + 1 FROM w JOIN conversations c ON c.conv_id = w.conv_id AND c.turn = w.turn - 1) SELECT conv_id, turn, min(depth) AS depth FROM w GROUP BY ALL")
 def recursive_walk(spark, sf_dir):
     """Commits from each tip along parents: a conversation's turns, each the parent of the next."""
-    table(spark, sf_dir, "conversations").select("conv_id", "turn").createOrReplaceTempView("quarry_edges")
-    return spark.sql("""WITH RECURSIVE w(conv_id, turn, depth) AS (
-      SELECT conv_id, max(turn), 0 FROM quarry_edges GROUP BY conv_id
-      UNION ALL SELECT c.conv_id, c.turn, w.depth + 1 FROM w JOIN quarry_edges c ON c.conv_id = w.conv_id AND c.turn = w.turn - 1)
-      SELECT conv_id, turn, min(depth) AS depth FROM w GROUP BY conv_id, turn""")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    node = lambda turn: F.struct("conv_id", F.expr(turn).cast("long").alias("turn")).alias
+    tips = c.groupBy("conv_id").agg(F.max("turn").alias("turn")).select(node("turn")("node"))
+    found = walk(tips, c.where("turn > 0").select(node("turn")("node"), node("turn - 1")("parent")))
+    own = c.select(node("turn")("node")).distinct()
+    return found.join(own, "node", "left_semi").select("node.conv_id", "node.turn", F.col("depth").cast("int").alias("depth"))
 
 
 @query()
