@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import decontamination, language_id, line_dedup, matroska, mixing, ngram_join, quality, substring_dedup, token_counts, toxicity
+from quarry.llm import language_id, line_dedup, matroska, mixing, ngram_join, quality, substring_dedup, token_counts, toxicity
 from quarry.llm.words import scramble, shingles
+from test_decontamination import within
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, N_TOKENS2 int, score double, component_id long"
 LONG = "\n".join(f"row {i} of a very long text" for i in range(5000))
@@ -256,7 +257,7 @@ def plain_stages(rows, items):
                 if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                     group[a] = min(group[a], group[b])
     out = {i: t for i, t in out.items() if group[i] == i}
-    bad = {d for d, _ in decontamination.brute_force(list(out.items()), items)}
+    bad = {d for d, _ in within(list(out.items()), items, lambda n: n)}
     return {i: t for i, t in out.items() if i not in bad}
 
 
