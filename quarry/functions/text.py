@@ -18,8 +18,9 @@ MARKS = "[\u0300-\u036f]+"
 
 def tokens(text: Column) -> Column:
     """Runs of letters and digits, in lower case, without Latin diacritics."""
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
-    return F.regexp_extract_all(F.regexp_replace(folded, MARKS, ""), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    # letters beyond PLAIN, the separate diacritics, are dropped
+    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED + "".join(map(chr, range(0x300, 0x370))), PLAIN)
+    return F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def canonical_path(path: Column, repo: str = "") -> Column:
