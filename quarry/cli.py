@@ -4,30 +4,28 @@ from __future__ import annotations
 
 import argparse
 import sys
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.engine import SOURCES, Engine
+from quarry.operators import results
+from quarry.operators.embed import encode
 from quarry.sources import git
 
-#: How kinds of symbols are written in results; the others are written as they are.
-KINDS = {"function": "fn", "implmethod": "fn", "traitmethod": "fn", "typealias": "type", "module": "mod", "macro": "macro"}
 
-
-def _kind(kind: Column) -> Column:
-    pairs = [F.lit(x) for pair in KINDS.items() for x in pair]
-    return F.coalesce(F.create_map(*pairs)[kind], kind)
-
-
-def lines(hits: DataFrame) -> DataFrame:
-    """line: each hit as text, best first. hits: score, match_type, identifier, text, metadata."""
-    kind = _kind(F.get_json_object("metadata", "$.symbol_kind"))
-    title = F.split_part("text", F.lit("\n"), F.lit(1))
-    name = F.concat_ws(" ", kind, F.coalesce(F.get_json_object("metadata", "$.short_hash"), "identifier"))
+def lines(hits: DataFrame, numbered: bool = False) -> DataFrame:
+    """line: each hit in its source's layout, best first; numbered: with its place."""
+    parts = [results.line(s, results.RECORDS[s](hits.where(F.col("source_type") == s))) for s in SOURCES]
+    every = reduce(DataFrame.unionByName, parts)
     # distances and full-text ranks are best when least, fused scores when greatest
     best = F.when(F.col("match_type").isin("fts", "vector"), F.col("score")).otherwise(-F.col("score"))
-    return hits.orderBy(best, "item_id").select(F.format_string("[%.3f] %s: %s", "score", name, title).alias("line"))
+    if not numbered:
+        return every.orderBy(best, "item_id").select("line")
+    place = F.row_number().over(W.orderBy(best, "item_id"))  # k rows a source
+    return every.select(F.format_string("%-3d %s", place, "line").alias("line"), place.alias("place")).orderBy("place").select("line")
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -64,18 +62,18 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             for r in (found if a.count is None else found.limit(a.count)).toLocalIterator():
                 print(f"{r.short_hash} {r.message_title} ({r.author_name}, {r.time})")
             return 0
-        engine = Engine(spark, a.warehouse, a.repo, embed=not a.no_embed)
+        engine = Engine(spark, a.warehouse, a.repo, encoder=None if a.no_embed else encode)
         if a.does == "index":
             one = {"commit": engine.index_commits, "code": engine.index_code, "document": engine.index_documents}
             report = engine.index_all() if not a.source else {a.source: engine.reindex(a.source) if a.again else one[a.source]()}
             for source, counts in report.items():
                 print(f"{source}: {counts}")
-            return 0
+            return int(any(isinstance(c, dict) and "error" in c for c in report.values()))
         if a.source:
             hits = {"text": engine.search_text, "similar": engine.search_similar, "hybrid": engine.search_hybrid}[a.mode](a.query, a.source, a.k)
         else:
-            hits = engine.search_all(a.query, a.k).withColumn("match_type", F.lit("hybrid"))
-        for r in lines(hits).collect():  # k hits of a source, at most
+            hits = engine.search_all(a.query, a.k)
+        for r in lines(hits, numbered=not a.source).collect():  # k hits of a source, at most
             print(r.line)
         return 0
     except (git.GitError, ValueError) as e:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -25,9 +27,11 @@ def encode(texts: list[str | None], dim: int = DIM) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def embedding(text: str | Column, dim: int = DIM) -> Column:
+def embedding(text: str | Column, encoder: Callable[[list[str | None]], np.ndarray] = encode) -> Column:
+    """Each text's vector by an encoder: a function that can be pickled, of a batch of texts, rows of one length."""
+
     @F.pandas_udf(ArrayType(FloatType()))
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series(list(encode(s.tolist(), dim)))
+        return pd.Series([np.asarray(v, np.float32) for v in encoder(s.tolist())])
 
     return run(text)

@@ -67,44 +67,38 @@ def _near(ps: list[Phrase], starts: list[Column], distance: int) -> list[Column]
     return [matched(p, s) for p, s in zip(ps, starts, strict=True)]
 
 
-def bm25(indexed: DataFrame, query: str, columns: tuple[str, ...] = ("text", "author"), key: str = "item_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, keep, rank (negative, lower is better) and the number of phrases that score, for the items that match.
+def _weights(tree, found: list[Phrase], columns: tuple[str, ...]) -> tuple[Column, dict[int, Column], dict[int, Column]]:
+    """Whether a row of phrase counts matches; each scoring phrase's frequency; whether an item has it at all.
 
-    Each phrase's frequency is a column over the item's own tokens, the query's tree a boolean over those:
-    no posting is joined or grouped. Statistics are of all items, in one aggregate; filter afterwards.
-    The items' narrow counts are kept in Spark's cache, memory or disk, so that texts are read and split
-    once for the statistics, the scores and all lists that are filtered from them; what is lost is computed again.
+    Rows hold, by phrase k and column c, __n{k}_{c} (how often it stands there) or, of phrases in a NEAR,
+    __s{k}_{c} (where).
     """
-    tree = parse(query, columns)
-    found = phrases(tree)
-    cols = {}
-    for k, p in enumerate(found):
-        for c in p.columns if p.columns is not None else columns:
-            cols[f"__s{k}_{c}"] = _starts(p, F.col(f"tok_{c}"))
-    scanned = computed_once(indexed, cols).select(key, *keep, "dl", *cols)
     place = {id(p): k for k, p in enumerate(found)}
 
-    def names(p: Phrase) -> list[str]:
-        return [c for c in (p.columns if p.columns is not None else columns)]
+    def names(p: Phrase) -> tuple[str, ...]:
+        return tuple(p.columns) if p.columns is not None else columns
 
     def count(parts: list[Column]) -> Column:
         return reduce(lambda a, b: a + b, parts, F.lit(0))
 
     tf: dict[int, Column] = {}
+    has: dict[int, Column] = {}
 
     def walk(node) -> tuple[Column, list[tuple[int, Column]]]:
         if isinstance(node, Phrase):
             k = place[id(node)]
-            tf[k] = count([F.size(f"__s{k}_{c}") for c in names(node)])
-            return tf[k] > 0, [(k, F.lit(True))]
+            tf[k] = count([F.col(f"__n{k}_{c}") for c in names(node)])
+            has[k] = tf[k] > 0
+            return has[k], [(k, F.lit(True))]
         if isinstance(node, Near):
-            shared = [c for c in columns if all(c in names(p) for p in node.phrases)]
             per = [[] for _ in node.phrases]
-            for c in shared:
-                for k, x in enumerate(_near(node.phrases, [F.col(f"__s{place[id(p)]}_{c}") for p in node.phrases], node.distance)):
-                    per[k].append(F.size(x))
+            for c in columns:
+                if all(c in names(p) for p in node.phrases):
+                    for k, x in enumerate(_near(node.phrases, [F.col(f"__s{place[id(p)]}_{c}") for p in node.phrases], node.distance)):
+                        per[k].append(F.size(x))
             for p, parts in zip(node.phrases, per, strict=True):
-                tf[place[id(p)]] = count(parts)
+                k = place[id(p)]
+                tf[k], has[k] = count(parts), count([F.size(f"__s{k}_{c}") for c in names(p)]) > 0
             return tf[place[id(node.phrases[0])]] > 0, [(place[id(p)], F.lit(True)) for p in node.phrases]
         seen = [walk(p) for p in node.parts]
         if node.kind == "and":
@@ -114,24 +108,66 @@ def bm25(indexed: DataFrame, query: str, columns: tuple[str, ...] = ("text", "au
         return reduce(lambda a, b: a | b, [m for m, _ in seen]), [(k, on & m) for m, xs in seen for k, on in xs]
 
     match, active = walk(tree)
-    raw = {k: count([F.size(f"__s{k}_{c}") for c in names(p)]) for k, p in enumerate(found)}
-    rows = scanned.select(key, *keep, "dl", match.alias("__m"), *[F.when(on, tf[k]).otherwise(0).alias(f"__f{k}") for k, on in active], *[(raw[k] > 0).alias(f"__d{k}") for k, _ in active]).persist()
-    stats = rows.agg(F.count(F.lit(1)).alias("__n"), F.avg("dl").alias("__avg"), *[F.count_if(f"__d{k}").alias(f"__n{k}") for k, _ in active])
+    return match, {k: F.when(on, tf[k]).otherwise(0) for k, on in active}, {k: has[k] for k, _ in active}
+
+
+def _near_phrases(node) -> set[int]:
+    if isinstance(node, Near):
+        return {id(p) for p in node.phrases}
+    return set().union(*[_near_phrases(p) for p in node.parts]) if isinstance(node, Op) else set()
+
+
+def _scored(rows: DataFrame, ks: list[int], key: str, keep: tuple[str, ...], totals: DataFrame | None = None) -> DataFrame:
+    """rows: key, keep, dl, __m, and of each scoring phrase __f{k} and __d{k}. totals: n and avgdl, if rows aren't all items."""
+    rows = rows.persist()
+    counts = [F.count_if(f"__d{k}").alias(f"__n{k}") for k in ks]
+    if totals is None:
+        stats = rows.agg(F.count(F.lit(1)).alias("__n"), F.avg("dl").alias("__avg"), *counts)
+    else:  # one row by one row
+        stats = rows.agg(F.count(F.lit(1)).alias("__found"), *counts).join(totals.select(F.col("n").alias("__n"), F.col("avgdl").alias("__avg")))
     scored = rows.where("__m").join(F.broadcast(stats))  # one row of statistics
     score = F.lit(0.0)
-    for k, _ in active:
+    for k in ks:
         idf = F.log((F.col("__n") - F.col(f"__n{k}") + 0.5) / (F.col(f"__n{k}") + 0.5))
         f = F.col(f"__f{k}")
         score = score + F.when(idf > 0, idf).otherwise(1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("__avg")))
     return scored.select(key, *keep, (-score).alias("rank"))
 
 
+def bm25(indexed: DataFrame, query: str, columns: tuple[str, ...] = ("text", "author"), key: str = "item_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, keep and rank (negative, lower is better) of the items that match, from their texts.
+
+    For items without stored postings (postings.bm25 reads those). Each phrase's frequency is a column over
+    the item's own tokens, the query's tree a boolean over those: nothing is joined or grouped. Statistics
+    are of all items, in one aggregate; filter afterwards. The items' narrow counts are kept in Spark's
+    cache, memory or disk, so that texts are read and split once for the statistics, the scores and all
+    lists that are filtered from them; what is lost is computed again.
+    """
+    tree = parse(query, columns)
+    found = phrases(tree)
+    near, cols = _near_phrases(tree), {}
+    for k, p in enumerate(found):
+        for c in p.columns if p.columns is not None else columns:
+            starts = _starts(p, F.col(f"tok_{c}"))
+            cols |= {f"__s{k}_{c}": starts} if id(p) in near else {f"__n{k}_{c}": F.size(starts)}
+    match, tf, has = _weights(tree, found, columns)
+    scanned = computed_once(indexed, cols).select(key, *keep, "dl", *cols)
+    rows = scanned.select(key, *keep, "dl", match.alias("__m"), *[x.alias(f"__f{k}") for k, x in tf.items()], *[x.alias(f"__d{k}") for k, x in has.items()])
+    return _scored(rows, list(tf), key, keep)
+
+
 def top(df: DataFrame, order: str, k: int, key: str = "item_id", ascending: bool = True) -> DataFrame:
     """The k best by `order`, rounded to nine places, then key."""
     by = F.round(order, 9)
     return df.withColumn(order, by).orderBy(F.col(order).asc() if ascending else F.col(order).desc(), key).limit(k)
 
 
+def top_by(df: DataFrame, by: str, order: str, k: int, key: str = "item_id") -> DataFrame:
+    """The k best of each value of `by`, as top() has them. Each task keeps k of a value before the shuffle."""
+    place = F.row_number().over(W.partitionBy(by).orderBy(order, key))
+    return df.withColumn(order, F.round(order, 9)).withColumn("__k", place).where(F.col("__k") <= k).drop("__k")
+
+
 def ranked(df: DataFrame, order: str, key: str = "item_id", ascending: bool = True) -> DataFrame:
     """A short list with pos, from 1 without ties."""
     return df.withColumn("pos", F.row_number().over(W.orderBy(F.col(order).asc() if ascending else F.col(order).desc(), key)))
@@ -141,13 +177,18 @@ def cosine_distance(a: Column, b: Column) -> Column:
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-    return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
-def knn(vectors: DataFrame, query: DataFrame, k: int, key: str = "item_id", vector: str = "embedding") -> DataFrame:
-    """key and distance of the k nearest by cosine. query: one row with `embedding`; the scan is exact."""
+def distances(vectors: DataFrame, query: DataFrame, keep: tuple[str, ...] = ("item_id",), vector: str = "embedding") -> DataFrame:
+    """keep, and each vector's distance by cosine. query: one row with `embedding`; vectors of length 0 have none."""
     q = F.broadcast(query.select(F.col(vector).alias("__q")).limit(1))
-    return top(vectors.join(q).select(key, cosine_distance(F.col(vector), F.col("__q")).alias("distance")), "distance", k, key)
+    return vectors.join(q).select(*keep, cosine_distance(F.col(vector), F.col("__q")).alias("distance")).where("distance is not null")
+
+
+def knn(vectors: DataFrame, query: DataFrame, k: int, key: str = "item_id", vector: str = "embedding") -> DataFrame:
+    """key and distance of the k nearest by cosine; the scan is exact."""
+    return top(distances(vectors, query, (key,), vector), "distance", k, key)
 
 
 def rrf(lists: list[DataFrame], k: int = RRF_K, key: str = "item_id", weights: list[float] | None = None) -> DataFrame:
@@ -156,9 +197,9 @@ def rrf(lists: list[DataFrame], k: int = RRF_K, key: str = "item_id", weights: l
     return reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.sum("c").alias("score"), F.count(F.lit(1)).alias("n_lists"))
 
 
-def hybrid(indexed: DataFrame, query: str, vectors: DataFrame | None, vector_query: DataFrame | None, k: int, key: str = "item_id", columns: tuple[str, ...] = ("text", "author")) -> DataFrame:
-    """key, score, match_type. Without vectors: full text only, with its own scores."""
-    fts = top(bm25(indexed, query, columns, key), "rank", k, key)
+def hybrid(ranks: DataFrame, vectors: DataFrame | None, vector_query: DataFrame | None, k: int, key: str = "item_id") -> DataFrame:
+    """key, score, match_type. ranks: key and rank of the items that match. Without vectors: full text only, with its own scores."""
+    fts = top(ranks, "rank", k, key)
     if vectors is None or vector_query is None:
         return fts.select(key, F.col("rank").alias("score"), F.lit("fts").alias("match_type"))
     near = knn(vectors, vector_query, k, key)
@@ -166,19 +207,20 @@ def hybrid(indexed: DataFrame, query: str, vectors: DataFrame | None, vector_que
     return top(fused, "score", k, key, ascending=False).select(key, "score", F.lit("hybrid").alias("match_type"))
 
 
-def unified(fts_by_source: list[tuple[str, DataFrame]], vec_by_source: list[tuple[str, DataFrame]], k: int, mode: str = "concat") -> DataFrame:
-    """item_id, source_type, score of 3 * k at most. Lists hold item_id and rank or distance, k each.
+def unified(fts: DataFrame, near: DataFrame, k: int, order: tuple[str, ...], mode: str = "concat") -> DataFrame:
+    """item_id, source_type, score, n_lists of 3 * k at most.
 
-    concat: positions run on from source to source in the order given; global: by rank or distance over all.
+    fts: item_id, source_type, rank and near: item_id, source_type, distance, of all sources at once; the k
+    best of each count. concat: positions run on from source to source as `order` names them; global: by
+    rank or distance over all.
     """
 
-    def one(lists: list[tuple[str, DataFrame]], order: str) -> DataFrame:
-        every = reduce(DataFrame.unionByName, [d.select("item_id", order, F.lit(i).alias("o"), F.lit(s).alias("source_type")) for i, (s, d) in enumerate(lists)])
-        by = [F.col("o")] if mode == "concat" else []
-        return every.withColumn("pos", F.row_number().over(W.orderBy(*by, order, "item_id")))
+    def one(found: DataFrame, by: str) -> DataFrame:
+        best = top_by(found.where(F.col("source_type").isin(*order)).select("item_id", "source_type", by), "source_type", by, k)
+        first = [F.array_position(F.array(*map(F.lit, order)), F.col("source_type"))] if mode == "concat" else []
+        return best.withColumn("pos", F.row_number().over(W.orderBy(*first, by, "item_id")))  # k rows a source
 
-    lists = [one(fts_by_source, "rank"), one(vec_by_source, "distance")]
     key = F.concat_ws(":", "source_type", F.col("item_id").cast("string")).alias("key")
-    fused = rrf([d.select(key, "pos") for d in lists], key="key")
+    fused = rrf([d.select(key, "pos") for d in (one(fts, "rank"), one(near, "distance"))], key="key")
     out = top(fused, "score", 3 * k, "key", ascending=False)
     return out.select(F.split_part("key", F.lit(":"), F.lit(2)).cast("long").alias("item_id"), F.split_part("key", F.lit(":"), F.lit(1)).alias("source_type"), "score", "n_lists")

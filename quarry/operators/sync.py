@@ -40,3 +40,10 @@ def upsert(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def item_id(source_type, identifier):
     return F.xxhash64(source_type, identifier)
+
+
+def named_by_file(chunks: DataFrame) -> DataFrame:
+    """chunks (file_path, ordinal, ...) with n, their file's number of chunks, and an identifier: the path, with the ordinal where n isn't 1."""
+    n = chunks.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
+    name = F.when(F.col("n") == 1, F.col("file_path")).otherwise(F.concat_ws("::", "file_path", F.col("ordinal").cast("string")))
+    return chunks.join(n, "file_path").withColumn("identifier", name)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import chunking, embed, search, symbols, sync
+from quarry.operators import chunking, embed, postings, results, search, store, symbols, sync
 from quarry.operators.walk import walk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,8 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _docs(spark, sf_dir) -> DataFrame:
-    return search.index(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text"))
+def _ranks(spark, sf_dir, text: str) -> DataFrame:
+    """item_id and rank of the documents that match."""
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    return postings.bm25(spark, store.indexed(spark, "documents", [f"{sf_dir}/documents.parquet"], items), text)
 
 
 def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -65,7 +67,7 @@ def _fts_sql(terms: list[str], match: str, source: str = "SELECT doc_id AS item_
 
 def _fts(name: str, text: str, terms: list[str], match: str) -> None:
     def run(spark, sf_dir):
-        return search.top(search.bm25(_docs(spark, sf_dir), text), "rank", K)
+        return search.top(_ranks(spark, sf_dir, text), "rank", K)
 
     QUERIES[name] = run
     ORACLE_SQL[name] = f"WITH {_fts_sql(terms, match)} SELECT item_id, rank FROM t"
@@ -92,7 +94,7 @@ SELECT item_id, round(-(i1 * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / a)) + i2
 FROM m, i WHERE f1 > 0 ORDER BY rank, item_id LIMIT {K}"""
 )
 def fts_near_topk(spark, sf_dir):
-    return search.top(search.bm25(_docs(spark, sf_dir), "NEAR(the trash, 3)"), "rank", K)
+    return search.top(_ranks(spark, sf_dir, "NEAR(the trash, 3)"), "rank", K)
 
 
 @query(
@@ -104,7 +106,8 @@ FROM m, s WHERE f > 0 ORDER BY rank, item_id LIMIT {K}"""
 )
 def fts_column_filter(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), "text", F.col("role").alias("author"))
-    return search.top(search.bm25(search.index(c), "author : user"), "rank", K)
+    path = store.indexed(spark, "conversations", [f"{sf_dir}/conversations.parquet"], c)
+    return search.top(postings.bm25(spark, path, "author : user"), "rank", K)
 
 
 def _sources(spark, sf_dir) -> DataFrame:
@@ -115,12 +118,18 @@ def _sources(spark, sf_dir) -> DataFrame:
     return d.union(c).union(p)
 
 
+def _source_ranks(spark, sf_dir, text: str) -> DataFrame:
+    files = [f"{sf_dir}/{n}.parquet" for n in ("documents", "conversations", "pages")]
+    path = store.indexed(spark, "sources", files, _sources(spark, sf_dir), keep=("source_type",))
+    return postings.bm25(spark, path, text, keep=("source_type",))
+
+
 _SOURCES_SQL = "SELECT 'document' AS source_type, doc_id AS item_id, text FROM documents UNION ALL SELECT 'commit', conv_id * 1000 + turn, text FROM conversations UNION ALL SELECT 'code', page_id, html FROM pages"
 
 
 @query("WITH " + _fts_sql(["the"], "f1 > 0", _SOURCES_SQL, "WHERE source_type = 'commit'") + " SELECT item_id, source_type, rank FROM t")
 def fts_filtered_by_source(spark, sf_dir):
-    scored = search.bm25(search.index(_sources(spark, sf_dir)), "the", keep=("source_type",))
+    scored = _source_ranks(spark, sf_dir, "the")
     return search.top(scored.where("source_type = 'commit'"), "rank", K).select("item_id", "source_type", "rank")
 
 
@@ -147,12 +156,12 @@ h AS (SELECT item_id, round(sum(1.0::DOUBLE / (60 + pos)), 9) AS score FROM l GR
 
 @query(f"{_HYBRID} SELECT item_id, score, 'hybrid' AS match_type FROM h")
 def hybrid_rrf(spark, sf_dir):
-    return search.hybrid(_docs(spark, sf_dir), " OR ".join(_TERMS), *_vectors(spark, sf_dir), K)
+    return search.hybrid(_ranks(spark, sf_dir, " OR ".join(_TERMS)), *_vectors(spark, sf_dir), K)
 
 
 @query(f"WITH {_fts_sql(_TERMS, _ANY)} SELECT item_id, rank AS score, 'fts' AS match_type FROM t")
 def hybrid_fts_only_fallback(spark, sf_dir):
-    return search.hybrid(_docs(spark, sf_dir), " OR ".join(_TERMS), None, None, K)
+    return search.hybrid(_ranks(spark, sf_dir, " OR ".join(_TERMS)), None, None, K)
 
 
 @query(f"{_HYBRID} SELECT h.item_id, score, quality, toxic, regexp_replace(split_part(text, chr(10), 1), '\\r$', '') AS title FROM h JOIN documents d ON d.doc_id = h.item_id LEFT JOIN labels l ON l.doc_id = h.item_id")
@@ -167,11 +176,10 @@ _ORDER = ("commit", "code", "document")
 
 
 def _unified(spark, sf_dir, mode: str) -> DataFrame:
-    scored = search.bm25(search.index(_sources(spark, sf_dir)), "the OR of", keep=("source_type",))
     v, q = _vectors(spark, sf_dir)
-    fts = [(s, search.top(scored.where(F.col("source_type") == s), "rank", 10)) for s in _ORDER]
-    vec = [(s, search.knn(v.where(F.col("label") % 3 == i), q, 10)) for i, s in enumerate(_ORDER)]
-    return search.unified(fts, vec, 10, mode)
+    sourced = v.withColumn("source_type", F.get(F.array(*map(F.lit, _ORDER)), (F.col("label") % 3).cast("int")))
+    near = search.distances(sourced, q, ("item_id", "source_type"))
+    return search.unified(_source_ranks(spark, sf_dir, "the OR of"), near, 10, _ORDER, mode)
 
 
 def _unified_sql(mode: str) -> str:
@@ -244,9 +252,11 @@ _EXPLODED = f"SELECT doc_id, unnest({_TOK.format('text')}) AS term FROM document
 
 @query(f"SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM ({_EXPLODED}) GROUP BY term")
 def term_stats(spark, sf_dir):
-    # per document first: then a term's documents are a count, not a distinct
-    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
-    return t.groupBy("doc_id", "term").count().groupBy("term").agg(F.sum("count").alias("tf"), F.count(F.lit(1)).alias("df"))
+    # a row is a document: its distinct terms are marked within it, so one shuffle by term, combined before, has both counts
+    toks = search.computed_once(table(spark, sf_dir, "documents").select("doc_id", "text"), {"toks": T.tokens(F.col("text"))})
+    once = F.transform(F.array_distinct("toks"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
+    every = F.transform("toks", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
+    return toks.select(F.explode(F.concat(every, once)).alias("t")).groupBy("t.term").agg(F.sum("t.tf").alias("tf"), F.sum("t.df").alias("df"))
 
 
 @query(f"SELECT doc_id, len({_TOK.format('text')}) AS dl FROM documents")
@@ -344,6 +354,87 @@ def card_projection(spark, sf_dir):
     return d.unionByName(c)
 
 
+def _hits(spark, sf_dir) -> DataFrame:
+    """Documents as hits: a third without metadata, a third with broken metadata, a third with a record's fields."""
+    kind = F.get(F.array(*map(F.lit, ("struct", "implmethod", "none such"))), F.expr("cast(doc_id % 9 / 3 as int)"))
+    whole = F.to_json(F.struct(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file_path"), F.lit(3).alias("line_start"), F.lit(9).alias("line_end"), kind.alias("symbol_kind"), F.format_string("%07d", "doc_id").alias("short_hash")))
+    meta = F.when(F.expr("doc_id % 3 = 0"), whole).when(F.expr("doc_id % 3 = 1"), F.lit("{not json"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.concat(F.lit("f::"), F.col("doc_id").cast("string")).alias("identifier"), "text", F.when(F.expr("doc_id % 2 = 0"), F.col("lang")).alias("author"), meta.alias("metadata"), F.lit(0.5).alias("score"), F.lit("fts").alias("match_type"))
+
+
+_HIT = """WITH h AS (SELECT doc_id AS item_id, 'f::' || doc_id AS identifier, text, CASE WHEN doc_id % 2 = 0 THEN lang END AS author, 0.5::DOUBLE AS score, 'fts' AS match_type,
+CASE WHEN doc_id % 3 = 0 THEN lpad(doc_id::VARCHAR, 7, '0') ELSE '' END AS short_hash, CASE WHEN doc_id % 3 = 0 THEN source || '/' || doc_id ELSE '' END AS file_path,
+CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END::BIGINT AS line_start, CASE WHEN doc_id % 3 = 0 THEN 9 ELSE 0 END::BIGINT AS line_end,
+CASE WHEN doc_id % 9 = 0 THEN 'struct' WHEN doc_id % 9 = 3 THEN 'implmethod' ELSE 'function' END AS symbol_kind,
+regexp_replace(split_part(text, chr(10), 1), '\\r$', '') AS first FROM documents)"""
+
+
+@query(f"{_HIT} SELECT item_id, identifier, short_hash, md5(text) AS text_md5, author, score, match_type FROM h")
+def result_commits(spark, sf_dir):
+    return results.commits(_hits(spark, sf_dir)).withColumn("text", F.md5("text")).withColumnRenamed("text", "text_md5")
+
+
+@query(f"{_HIT} SELECT item_id, identifier, symbol_kind, file_path, line_start, line_end, md5(text) AS text_md5, score, match_type FROM h")
+def result_code(spark, sf_dir):
+    return results.code(_hits(spark, sf_dir)).withColumn("text", F.md5("text")).withColumnRenamed("text", "text_md5")
+
+
+@query(f"{_HIT} SELECT item_id, identifier, file_path, md5(text) AS text_md5, score, match_type FROM h")
+def result_documents(spark, sf_dir):
+    return results.documents(_hits(spark, sf_dir)).withColumn("text", F.md5("text")).withColumnRenamed("text", "text_md5")
+
+
+@query(f"""{_HIT} SELECT 'commit' AS source_type, first AS title, short_hash || chr(10) || 'Author: ' || coalesce(author, '') || chr(10) || 'Date: ' AS content FROM h
+UNION ALL SELECT 'code', item_id::VARCHAR, file_path || chr(10) || line_start || ':' || line_end FROM h
+UNION ALL SELECT 'document', file_path, first FROM h""")
+def cards_by_source(spark, sf_dir):
+    hits = _hits(spark, sf_dir)
+    kinds = [("commit", results.commit_cards), ("code", results.code_cards), ("document", results.document_cards)]
+    parts = [cards(results.RECORDS[s](hits)).select(F.lit(s).alias("source_type"), "title", "content") for s, cards in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"{_HIT} SELECT identifier, coalesce(nullif(first, ''), short_hash || chr(10) || 'Author: ' || coalesce(author, '') || chr(10) || 'Date: ') AS title, nullif(short_hash, '') AS hash, author, NULL::VARCHAR AS date FROM h")
+def card_reparse(spark, sf_dir):
+    hits = results.commits(_hits(spark, sf_dir))
+    keys = hits.select(results.stable_key("identifier").alias("stable_key"), "identifier")
+    return results.card_fields(results.commit_cards(hits)).join(keys, "stable_key").drop("stable_key")
+
+
+@query(f"{_HIT} SELECT item_id, '[0.500] ' || rpad(CASE WHEN symbol_kind = 'struct' THEN 'struct' ELSE 'fn' END, 8, ' ') || ' ' || file_path || ':' || line_start || '       ' || item_id || ' — ' || first || ' [Code]' AS line FROM h")
+def result_lines_code(spark, sf_dir):
+    return results.line("code", results.code(_hits(spark, sf_dir))).select("item_id", "line")
+
+
+@query(f"{_HIT} SELECT item_id, '[0.500] ' || CASE WHEN short_hash = '' THEN '       ' ELSE short_hash END || ' ' || coalesce(author, '') || ' — ' || first || ' [Git log]' AS line FROM h")
+def result_lines_commit(spark, sf_dir):
+    return results.line("commit", results.commits(_hits(spark, sf_dir))).select("item_id", "line")
+
+
+@query(f"{_HIT} SELECT item_id, '[0.500] ' || file_path || ' — ' || first || ' [Documents]' AS line FROM h")
+def result_lines_document(spark, sf_dir):
+    return results.line("document", results.documents(_hits(spark, sf_dir))).select("item_id", "line")
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '\\.([^./]+)$', 1)) AS extension FROM pages")
+def path_extension(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.extension(F.col("url")).alias("extension"))
+
+
+@query("SELECT event_id, ts, event_type FROM events")
+def log_by_time(spark, sf_dir):
+    """A log, latest first."""
+    return table(spark, sf_dir, "events").select("event_id", "ts", "event_type").orderBy(F.desc("ts"), "event_id")
+
+
+@query("SELECT item_id, n, CASE WHEN n = 1 THEN path ELSE path || '::' || (turn - least_turn) END AS identifier FROM (SELECT conv_id * 1000 + turn AS item_id, turn, 'c' || conv_id AS path, count(*) OVER (PARTITION BY conv_id) AS n, min(turn) OVER (PARTITION BY conv_id) AS least_turn FROM conversations)")
+def per_file_identifiers(spark, sf_dir):
+    """Chunks named by their file, with an ordinal where it has several; counted by a combining shuffle."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("file_path"))
+    rows = c.join(c.groupBy("conv_id").agg(F.min("turn").alias("first")), "conv_id").select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), "file_path", (F.col("turn") - F.col("first")).alias("ordinal"))
+    return sync.named_by_file(rows).select("item_id", "n", "identifier")
+
+
 @query("SELECT u.conv_id, u.turn, CASE WHEN coalesce(a.text, '') = '' THEN u.text ELSE u.text || chr(10) || chr(10) || a.text END AS text FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'")
 def commit_text_projection(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")

@@ -17,9 +17,10 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main([*base, "index"], spark) == 0
     assert "commit: 1" in capsys.readouterr().out
     assert cli.main([*base, "search", "validate_cart", "--source", "code", "--mode", "text"], spark) == 0
-    assert "fn src/cart.rs::validate_cart" in capsys.readouterr().out
+    assert "fn       src/cart.rs:1       validate_cart — pub fn validate_cart() -> bool [Code]" in capsys.readouterr().out
     assert cli.main([*base, "search", "checkout OR cart"], spark) == 0
-    assert len(capsys.readouterr().out.splitlines()) >= 2
+    out = capsys.readouterr().out.splitlines()
+    assert len(out) >= 2 and [x.split()[0] for x in out] == [str(i) for i in range(1, len(out) + 1)]
     assert cli.main([*base, "log", "--count", "1"], spark) == 0
     assert "initial cart" in capsys.readouterr().out
     with pytest.raises(SystemExit):
