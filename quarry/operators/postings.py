@@ -14,21 +14,23 @@ from quarry.operators.search import _near_phrases, _scored, _weights, index
 def write(items: DataFrame, path: str, columns: tuple[str, ...] = ("text", "author"), key: str = "item_id", keep: tuple[str, ...] = ()) -> None:
     """Writes path/postings (term, key, keep, dl, in_column, n, positions) and path/totals (n, total of dl: one row).
 
-    key and keep together name an item. Postings are cut by ranges of (term, item, column), so a term of
-    many items is many tasks' and a file's least and greatest term rule it out; rows meet for their
-    positions on those same ranges, without another shuffle.
+    key and keep together name an item. Texts are split once: their words are dealt out by (term, item,
+    column) and meet there for their positions, and what comes of it is cut by ranges of the same. So a
+    term of many items is many tasks' work, and a file's least and greatest term rule it out.
     """
     keys = [key, *keep]
     indexed = index(items.select(*keys, *[c for c in columns if c in items.columns]), columns)
-    indexed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).write.mode("overwrite").parquet(f"{path}/totals")
 
     def places(c: str) -> Column:
         return F.transform(f"tok_{c}", lambda t, i: F.struct(t.alias("term"), F.lit(c).alias("in_column"), i.alias("at")))
 
     one = indexed.select(*keys, "dl", F.explode(F.concat(*map(places, columns))).alias("p")).select("p.term", *keys, "p.in_column", "dl", "p.at")
     by = ["term", *keys, "in_column", "dl"]
-    rows = one.repartitionByRange(*by).groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("n"), F.sort_array(F.collect_list("at")).alias("positions"))
-    rows.sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{path}/postings")
+    # dealt out before the aggregate: lists that are begun in the task that splits texts would be sorted there
+    rows = one.repartition(*by).groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("n"), F.sort_array(F.collect_list("at")).alias("positions"))
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{path}/postings")
+    total = items.sparkSession.read.parquet(f"{path}/postings").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    items.agg(F.count(F.lit(1)).alias("n")).join(total).write.mode("overwrite").parquet(f"{path}/totals")  # one row by one row
 
 
 def _starts(p: Phrase, lists: list[Column]) -> Column:
