@@ -80,12 +80,13 @@ def _impl_name(head: str) -> str:
     return _type_name(parts[0]) if len(parts) == 1 else f"{_type_name(parts[0])}<{_type_name(parts[1])}>"
 
 
-def extract(path: str, source: str) -> list[tuple]:
+def extract(path: str, source: str, whole: bool = False) -> list[tuple]:
     """Rows of SCHEMA: functions, types, methods and so on, then the file's comments and imports, which aren't embedded.
 
     A symbol's text is its doc comment, its signature (a function's up to the body, others' first line)
-    and, of functions, the body's first lines. Functions inside functions and methods without body in
-    traits are no symbols.
+    and, of functions, the body's first lines; with `whole`, structs, enums and traits have all their lines.
+    Items in bodies of functions, impls and traits are symbols too, named by their modules alone if they
+    aren't methods; but no functions inside methods, functions without a body, or types of a trait.
     """
     code, comments = mask(source)
     lines = source.split("\n")
@@ -105,7 +106,7 @@ def extract(path: str, source: str) -> list[tuple]:
             k = first - 1
         return "\n".join(own)
 
-    def scan(lo: int, hi: int, mods: list[str], owner: str | None, kind_in: str) -> None:
+    def scan(lo: int, hi: int, mods: list[str], owner: str | None, kind_in: str, in_method: bool = False) -> None:
         at = lo
         while (m := _ITEM.search(code, at, hi)) and m.start() < hi:
             word = m[1]
@@ -117,26 +118,28 @@ def extract(path: str, source: str) -> list[tuple]:
                 continue
             if word == "impl":
                 if body is not None:
-                    scan(body + 1, end - 1, mods, _impl_name(code[m.end() : body]), "impl")
+                    scan(body + 1, end - 1, mods, _impl_name(code[m.end() : body]), "impl", in_method)
                 continue
             name = re.match(r"\s*(?:mut\s+)?(\w+)", code[m.end() :])
             if not name or word in ("const", "static") and name[1] == "_":
                 continue
-            if owner and word != "fn" or kind_in == "trait" and body is None:
+            if word == "fn" and (body is None or in_method and not owner) or kind_in == "trait" and word == "type":
                 continue
             kind = {"impl": "implmethod", "trait": "traitmethod"}.get(kind_in, "function") if word == "fn" else _KIND[word]
             head = source[start : body if word == "fn" and body is not None else end].strip()
-            head = f"mod {name[1]}" if word == "mod" else head if word == "fn" else head.split("\n")[0]
+            head = f"mod {name[1]}" if word == "mod" else head if word == "fn" or whole and word in ("struct", "enum", "trait") else head.split("\n")[0]
             excerpt = ""
             if word == "fn" and body is not None:
                 part = source[body:end].split("\n")
                 excerpt = "\n".join(part) if len(part) <= EXCERPT else "\n".join(part[:EXCERPT]) + "\n..."
             text = "\n".join(x for x in (doc(start), head, excerpt) if x)
-            found.append(("::".join([path, *mods, *([owner] if owner else []), name[1]]), text, kind, path, line(start), line(max(start, end - 1)), True))
+            found.append(("::".join([path, *mods, *([owner] if owner and word == "fn" else []), name[1]]), text, kind, path, line(start), line(max(start, end - 1)), True))
             if word == "mod" and body is not None:
-                scan(body + 1, end - 1, [*mods, name[1]], None, "")
+                scan(body + 1, end - 1, [*mods, name[1]], None, "", in_method)
             elif word == "trait" and body is not None:
-                scan(body + 1, end - 1, mods, name[1], "trait")
+                scan(body + 1, end - 1, mods, name[1], "trait", in_method)
+            elif word == "fn":
+                scan(body + 1, end - 1, mods, None, "", in_method or owner is not None)
 
     scan(0, len(code), [], None, "")
     inside = [(s[4], s[5]) for s in found if s[2] != "module"]
@@ -148,11 +151,11 @@ def extract(path: str, source: str) -> list[tuple]:
     return found
 
 
-def symbols(files: DataFrame) -> DataFrame:
+def symbols(files: DataFrame, whole: bool = False) -> DataFrame:
     """files: file_path, content. Scanning is sequential within a file, so files go through Python in batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([r for p, s in zip(b.file_path, b.content, strict=True) if s is not None for r in extract(p, s)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+            yield pd.DataFrame([r for p, s in zip(b.file_path, b.content, strict=True) if s is not None for r in extract(p, s, whole)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return files.select("file_path", "content").mapInPandas(run, SCHEMA)

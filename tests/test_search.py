@@ -116,3 +116,36 @@ def test_chunk_queries_cover_all_documents_and_others_are_registered(spark, tmp_
     assert sorted(given) == ["1", "2", "3", "4"]
     assert {"src/shape.rs::Shape::sides", "src/lib.rs::inner::Kind"} <= {r.identifier for r in catalog.QUERIES["symbol_extract"](spark, str(tmp_path)).collect()}
     assert sorted((r.doc_id, len(r.embedding)) for r in catalog.QUERIES["embed_hashing"](spark, str(tmp_path)).collect()) == [(i, 256) for i in range(1, 6)]
+
+
+def test_symbols_in_bodies():
+    source = """fn outer() {
+    const LIMIT: u32 = 3;
+    use std::fs;
+    fn inner() {}
+    struct Local;
+    impl Local {
+        fn go(&self) { fn lost() {} static N: u8 = 1; }
+    }
+    if true { let x = 1; }
+}
+impl Cart {
+    const SIZE: usize = 4;
+    type Item = u8;
+}
+trait Shape {
+    type Out;
+    const SIDES: u32;
+    fn area(&self) -> u32;
+    fn name(&self) -> u32 { 1 }
+}
+extern "C" { fn ffi(); }
+enum Kind {
+    A,
+}
+"""
+    rows = symbols.extract("a.rs", source)
+    got = {(r[0].removeprefix("a.rs::"), r[2]) for r in rows}
+    assert got == {("outer", "function"), ("LIMIT", "const"), ("inner", "function"), ("Local", "struct"), ("Local::go", "implmethod"), ("N", "static"), ("SIZE", "const"), ("Item", "typealias"), ("Shape", "trait"), ("SIDES", "const"), ("Shape::name", "traitmethod"), ("Kind", "enum"), ("__imports__", "imports")}
+    text = {r[0]: r[1] for r in symbols.extract("a.rs", source, whole=True)}
+    assert text["a.rs::Kind"] == "enum Kind {\n    A,\n}" and {r[0]: r[1] for r in rows}["a.rs::Kind"] == "enum Kind {"
